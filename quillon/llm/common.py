@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,3 +54,22 @@ def blocks(frames: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS)
 def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast of df if its counted rows are within limit, else leave the join to Spark."""
     return F.broadcast(df) if rows <= limit else df
+
+
+_BUILT: dict = {}
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a value under a name of its own, for :func:`built`."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, value))
+
+
+def built(shared, make, *args):
+    """What ``make(value, *args)`` gives for a shared value, made once in a Python worker; the last few are kept."""
+    name, value = shared.value
+    key = (name, make.__qualname__, args)
+    if key not in _BUILT:
+        while len(_BUILT) >= 4:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[key] = make(value, *args)
+    return _BUILT[key]

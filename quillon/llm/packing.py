@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, reliable, shuffle_partitions, table
-from quillon.llm.tokens import default_path, encoder, prove
+from quillon.llm.common import blocks, built, reliable, share, shuffle_partitions, table
+from quillon.llm.tokens import Encoder, default_path, prove
 
 CAPACITY = 2048
 #: Search limits: nodes; places of a filling with more than one try (later ones
@@ -181,11 +181,11 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the shorter one.  Null texts count as empty, whose one piece holds
     ``end_id``.  ``ids`` are little-endian unsigned 32-bit numbers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(prove(path or default_path()))
+    shared = share(docs.sparkSession, prove(path or default_path()))
     closing = end_id.to_bytes(4, "little")
 
     def cut(frames):
-        own = encoder(shared, True)
+        own = built(shared, Encoder, True)
         for frame in blocks(frames, "text"):
             out = []
             for key, text in zip(frame["id"], frame["text"]):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, table
+from quillon.llm.common import blocks, built, share, table
 
 #: Code points whose classes are probed.
 PROBED = [*range(0x250), *range(0x2010, 0x2028), 0x20AC]
@@ -123,18 +123,6 @@ class Encoder(dict):
         return b"".join(self.parts(text))
 
 
-_ENCODERS: dict = {}
-
-
-def encoder(shared, ids: bool) -> Encoder:
-    """The worker's encoder for a broadcast proof, built once per process."""
-    key = (id(shared), ids) if not hasattr(shared, "id") else (shared.id, ids)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, ids)
-    return _ENCODERS[key]
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -149,10 +137,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read.  An empty table gives an empty result.  ``path``: a byte-level BPE
     file of the tokenizers library with the usual English-contraction split.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(prove(path or default_path()))
+    shared = share(docs.sparkSession, prove(path or default_path()))
 
     def count(frames):
-        own = encoder(shared, False)
+        own = built(shared, Encoder, False)
         for frame in blocks(frames, "text"):
             n = [own.count(x) for x in frame["text"]]
             size = [len(x.encode()) for x in frame["text"]]
