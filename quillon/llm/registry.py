@@ -6,6 +6,7 @@ from quillon.llm.chunks import op2_document_fingerprints
 from quillon.llm.decontaminate import op3_decontamination
 from quillon.llm.language import op6_language_id
 from quillon.llm.packing import op4_best_fit_packing
+from quillon.llm.pii import op1_pii
 from quillon.llm.quality import op8_quality_classifier
 from quillon.llm.simhash import op10_simhash_near_dedup
 from quillon.llm.tokens import op9_token_counts
@@ -14,6 +15,7 @@ from quillon.llm.urls import op7_url_filter
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_document_fingerprints,
         op3_decontamination,
         op4_best_fit_packing,

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import blocks, reliable, table
@@ -51,15 +51,16 @@ def simhash_bytes(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): one signed 64-bit fingerprint for each row; null texts count as empty, whose fingerprint is 0."""
+    """(id, hash, fp): hash and signed 64-bit fingerprint of each row's text; null texts count as empty, whose fingerprint is 0."""
 
     def run(frames):
         for frame in blocks(frames, "text"):
             fp = np.array([simhash_bytes(x.encode(), width) for x in frame["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": frame["id"], "fp": fp})
+            yield pd.DataFrame({"id": frame["id"], "hash": frame["hash"], "fp": fp})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInPandas(run, f"id {kind}, hash long, fp long")
 
 
 def _near(x: np.ndarray, y: np.ndarray, first: np.ndarray, distance: int) -> np.ndarray:
@@ -161,6 +162,18 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.mapInPandas(scan, "u long, v long").where("u <> v")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, distance: int) -> DataFrame:
+    """(id, hash, fp, first): ``first`` is the struct (unnamed, id, hash) of the first row of the component."""
+    own = reliable(fingerprints(docs, id_col, text_col, width))
+    least = own.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")).alias("least"))
+    found = components(near_links(least.select("fp"), distance))
+    joined = least.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
+    reach = joined.groupBy("component").agg(F.min("least").alias("reach"))
+    better = joined.join(reach, "component").select("fp", "reach")
+    merged = least.join(better, "fp", "left").select("fp", F.coalesce("reach", "least").alias("first"))
+    return own.join(merged, "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """Fingerprint and near-duplicate component of every document.
 
@@ -171,14 +184,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component of null ids only has a null component_id).  Other columns of
     ``docs`` are not read; an empty table gives an empty result.
     """
-    own = reliable(fingerprints(docs, id_col, text_col, width))
-    least = own.groupBy("fp").agg(F.min("id").alias("least"))
-    found = components(near_links(least.select("fp"), distance))
-    joined = least.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
-    reach = joined.groupBy("component").agg(F.min("least").alias("reach"))
-    better = joined.join(reach, "component").select("fp", "reach")
-    merged = least.join(better, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
-    return own.join(merged, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _grouped(docs, id_col, text_col, width, distance)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+    """The documents, all columns, with one row of each near-duplicate group: that of the smallest id.
+
+    Of several rows with that id the one of the smallest text hash stays, and
+    of rows equal in both any one.  Null ids come after all others.
+    """
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    first = _grouped(docs, id_col, text_col, width, distance).groupBy("first.id", "first.hash").agg(F.sum(F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), 1)).alias("n"))
+    first = first.select(F.col("id").alias("__of_id"), F.col("hash").alias("__of_hash"), F.col("n").alias("__of_n"))
+    joined = docs.withColumn("__of_own", own)
+    kept = joined.join(first, F.col(id_col).eqNullSafe(F.col("__of_id")) & (F.col("__of_own") == F.col("__of_hash")))
+    # equal rows are rare; only they are ranked
+    again = kept.where("__of_n > 1").withColumn("__of_rank", F.row_number().over(Window.partitionBy("__of_id", "__of_hash").orderBy("__of_n")))
+    return kept.where("__of_n = 1").select(docs.columns).unionAll(again.where("__of_rank = 1").select(docs.columns))
 
 
 def op10_simhash_near_dedup(spark, sf_dir) -> DataFrame:
