@@ -1,6 +1,297 @@
-"""Registry of analytics queries and of their DuckDB oracles."""
+"""Registry of analytics queries and of their DuckDB oracles.
+
+Labels are language and source of documents, features are the embeddings or
+columns of lineitem.  Results are rounded to six decimals on both sides, since
+sums depend on their order.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import costs, dip
+from quillon.operators import contingency as ct
+from quillon.operators import geometry as geo
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir, name) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label"))
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    return ct.contingency(_table(spark, sf_dir, "documents"), "lang", "source")
+
+
+def _r(c, name, kind="double"):
+    return F.round(c, 6).cast(kind).alias(name)
+
+
+_POINTS = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label::INT AS label FROM embeddings)"
+_LONG = _POINTS + ", l AS (SELECT id, label, unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM p)"
+_CENTRES = _LONG + ", c AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM l GROUP BY ALL) GROUP BY label)"
+_NEAR = _CENTRES + ", d AS (SELECT p.id, p.label AS t, c.label AS k, list_sum(list_transform(list_zip(p.f, c.c), lambda e: (e[1] - e[2]) ** 2)) AS d2 FROM p, c), a AS (SELECT id, t, arg_min(k, (d2, k)) AS k, min(d2) AS d2 FROM d GROUP BY id, t)"
+_CELLS = "n AS (SELECT lang AS t, source AS p, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT t, sum(n) AS a FROM n GROUP BY t), k AS (SELECT p, sum(n) AS b FROM n GROUP BY p), m AS (SELECT sum(n) AS m FROM n)"
+_PAIRS = _POINTS + ", q AS (SELECT x.id AS i, y.id AS j, x.label AS li, y.label AS lj, sqrt(list_sum(list_transform(list_zip(x.f, y.f), lambda e: (e[1] - e[2]) ** 2))) AS d FROM p x JOIN p y ON x.id <> y.id), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM q)"
+
+
+@query(f"WITH {_NEAR} SELECT t AS label, k AS cluster, count(*) AS n FROM a GROUP BY ALL")
+def nearest_centroid_contingency(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    cells = ct.contingency(geo.assign(points, geo.centroids(points)), "label", "cluster")
+    return cells.withColumnsRenamed({"true": "label", "pred": "cluster"})
+
+
+@query(f"WITH {_NEAR} SELECT k AS cluster, count(*) AS n, round(sum(d2), 6) AS inertia FROM a GROUP BY k")
+def inertia_by_cluster(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return geo.assign(points, geo.centroids(points)).groupBy("cluster").agg(F.count("*").alias("n"), _r(F.sum("d2"), "inertia"))
+
+
+@query(f"WITH {_NEAR} SELECT a.k AS cluster, l.dim - 1 AS dim, round(avg(l.x), 6) AS x FROM a JOIN l USING (id) GROUP BY ALL")
+def kmeans_one_step(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    step = geo.lloyd_step(points, geo.centroids(points))
+    return step.select(F.col("label").alias("cluster"), F.posexplode("centroid").alias("dim", "x")).select("cluster", F.col("dim").cast("long").alias("dim"), _r(F.col("x"), "x"))
+
+
+@query("SELECT lang AS \"true\", source AS pred, count(*) AS n FROM documents GROUP BY ALL")
+def contingency_lang_source(spark, sf_dir):
+    return _cells(spark, sf_dir)
+
+
+@query(f"WITH {_CELLS} SELECT round(sum(b) / any_value(m), 6) AS purity FROM (SELECT p, max(n) AS b FROM n GROUP BY p), m")
+def purity_lang_source(spark, sf_dir):
+    return ct.purity(_cells(spark, sf_dir))
+
+
+_COUNTS = _CELLS + ", s AS (SELECT (SELECT sum(n*(n-1)/2) FROM n) AS tp, (SELECT sum(a*(a-1)/2) FROM r) AS it, (SELECT sum(b*(b-1)/2) FROM k) AS ip, m FROM m), c AS (SELECT tp, ip - tp AS fp, it - tp AS fn, m*(m-1)/2 - it - ip + tp AS tn FROM s)"
+
+
+@query(f"WITH {_COUNTS} SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn FROM c")
+def pair_counts_lang_source(spark, sf_dir):
+    return ct.pair_counts(_cells(spark, sf_dir))
+
+
+@query(f"WITH {_COUNTS} SELECT round(tp/(tp+fp+fn), 6) AS jaccard, round((tp+tn)/(tp+fp+fn+tn), 6) AS rand, round(tp/(tp+fp), 6) AS precision, round(tp/(tp+fn), 6) AS recall, round(2*tp/(2*tp+fp+fn), 6) AS f1 FROM c")
+def pair_scores_lang_source(spark, sf_dir):
+    return ct.pair_scores(ct.pair_counts(_cells(spark, sf_dir)))
+
+
+@query(f"WITH {_CELLS} SELECT round(-sum(n/m * (ln(n/a) + ln(n/b))), 6) AS vi FROM n JOIN r USING (t) JOIN k USING (p), m")
+def variation_of_information(spark, sf_dir):
+    return ct.variation_of_information(_cells(spark, sf_dir))
+
+
+@query(f"WITH {_CELLS}, mi AS (SELECT sum(n/m * ln(n*m/(a*b))) AS mi FROM n JOIN r USING (t) JOIN k USING (p), m), ht AS (SELECT -sum(a/m*ln(a/m)) AS ht, count(*) AS kt FROM r, m), hp AS (SELECT -sum(b/m*ln(b/m)) AS hp, count(*) AS kp FROM k, m) SELECT round(mi/((ht+hp)/2), 6) AS nmi, round(mi/((ht+hp)/2) * exp(-abs(kt-kp)/kt), 6) AS fnmi FROM mi, ht, hp")
+def nmi_fnmi(spark, sf_dir):
+    return ct.mutual_information(_cells(spark, sf_dir))
+
+
+@query(
+    f"WITH {_CELLS}, z AS (SELECT count(*) AS c FROM r), cc AS (SELECT -sum(n*ln(n/b)) AS s FROM n JOIN k USING (p)), tt AS (SELECT sum(list_sum(list_transform(range(1, c), lambda i: ln((b+i)/i)))) AS t FROM k, z), "
+    "hh AS (SELECT -sum(a/m*ln(a/m)) AS h, sum(list_sum(list_transform(range(1, c), lambda i: ln((a+i)/i))))/any_value(m) AS least FROM r, m, z) "
+    "SELECT round((s+t)/m, 6) AS dom, round((h+ln(c) - (s+t)/m)/(h+ln(c)-least), 6) AS dom_scaled FROM cc, tt, hh, z, m"
+)
+def dom_score(spark, sf_dir):
+    return ct.dom(_cells(spark, sf_dir))
+
+
+@query(
+    "WITH d AS (SELECT lang, source, quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY lang, source, quality, toxic) AS k FROM d), "
+    "p AS (SELECT (x.lang = y.lang OR x.source = y.source) AS t, (x.quality = y.quality OR x.toxic = y.toxic) AS p, CASE WHEN x.k = y.k THEN x.n*(x.n-1)/2 ELSE x.n*y.n END AS w FROM k x JOIN k y ON x.k <= y.k) "
+    "SELECT coalesce(sum(w) FILTER (t AND p), 0)::BIGINT AS tp, coalesce(sum(w) FILTER (NOT t AND p), 0)::BIGINT AS fp, coalesce(sum(w) FILTER (t AND NOT p), 0)::BIGINT AS fn, coalesce(sum(w) FILTER (NOT t AND NOT p), 0)::BIGINT AS tn FROM p"
+)
+def multi_labeling_same_anywhere(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    both = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    return ct.multi_labeling_pair_counts(both, ["lang", "source"], ["quality", "toxic"])
+
+
+@query()
+def clustering_accuracy_lang_source(spark, sf_dir):
+    return spark.createDataFrame([(ct.clustering_accuracy(_cells(spark, sf_dir)),)], "acc double")
+
+
+@query(f"WITH {_LONG}, s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM l) SELECT id, dim - 1 AS dim, round((x - mu)/sd, 6) AS z FROM l, s")
+def znorm_global(spark, sf_dir):
+    long = _points(spark, sf_dir).select("id", F.posexplode("features").alias("dim", "x"))
+    stats = long.agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    return long.crossJoin(F.broadcast(stats)).select("id", F.col("dim").cast("long").alias("dim"), _r((F.col("x") - F.col("mu")) / F.col("sd"), "z"))
+
+
+@query(f"WITH {_LONG}, s AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY dim) SELECT id, dim - 1 AS dim, round((x - mu)/sd, 6) AS z FROM l JOIN s USING (dim)")
+def znorm_feature(spark, sf_dir):
+    long = _points(spark, sf_dir).select("id", F.posexplode("features").alias("dim", "x"))
+    stats = long.groupBy("dim").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    return long.join(stats, "dim").select("id", F.col("dim").cast("long").alias("dim"), _r((F.col("x") - F.col("mu")) / F.col("sd"), "z"))
+
+
+@query("SELECT label::INT AS label, count(*) AS n, round(0.5*ln(count(*)), 6) AS bic, round(0.5*log2(count(*)), 6) AS bic_bits FROM embeddings GROUP BY label")
+def bic_by_cluster(spark, sf_dir):
+    return _points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).select("label", "n", _r(costs.bic(F.col("n")), "bic"), _r(costs.bic(F.col("n"), True), "bic_bits"))
+
+
+def _iterated(log: str, norm: str) -> str:
+    terms, inner = [norm], "p_partkey::DOUBLE"
+    steps = []
+    for k in range(6):
+        steps.append(f"s{k} AS (SELECT *, CASE WHEN t{k} > 0 THEN nullif(greatest({log}(t{k}), 0), 0) END AS t{k + 1} FROM {'s' + str(k - 1) if k else 'b'})")
+        terms.append(f"coalesce(t{k + 1}, 0)")
+    return f"WITH b AS (SELECT p_partkey AS n, {inner} AS t0 FROM part), {', '.join(steps)} SELECT n, round({' + '.join(terms)}, 6) AS cost FROM s5"
+
+
+@query(_iterated("log2", "log2(2.865064)"))
+def integer_costs_grid(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), _r(costs.integer(F.col("p_partkey"), True), "cost"))
+
+
+@query(
+    f"WITH {_LONG}, s AS (SELECT label, dim, sum(x*x) - sum(x)*sum(x)/count(*) AS v, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT label, sum(v) AS tr, max(n) AS n, count(*) AS d FROM s GROUP BY label) "
+    "SELECT label, round(n*d/(2*ln(2)) * (1 + ln(2*pi()) - ln(d*n) + ln(tr)), 6) AS bits FROM t"
+)
+def mdl_spherical_by_label(spark, sf_dir):
+    long = _points(spark, sf_dir).select("label", F.posexplode("features").alias("dim", "x"))
+    by_dim = long.groupBy("label", "dim").agg((F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / F.count("*")).alias("v"), F.count("*").alias("n"))
+    trace = by_dim.groupBy("label").agg(F.sum("v").alias("tr"), F.max("n").alias("n"), F.count("*").alias("d"))
+    return trace.select("label", _r(costs.spherical_gaussian(F.col("n"), F.col("d"), F.col("tr")), "bits"))
+
+
+@query(f"WITH {_PAIRS} SELECT i, j, rk::INT AS rank, round(d, 6) AS d FROM k WHERE rk <= 5")
+def knn_embeddings(spark, sf_dir):
+    found = geo.neighbours(geo.pair_distances(_points(spark, sf_dir)), 5)
+    return found.select("i", "j", F.col("rank").cast("int").alias("rank"), _r(F.col("d"), "d"))
+
+
+@query(f"WITH {_PAIRS} SELECT i, round(max(d), 6) AS core FROM k WHERE rk <= 4 GROUP BY i")
+def core_distance(spark, sf_dir):
+    return geo.core_distances(geo.pair_distances(_points(spark, sf_dir)), 5).select("i", _r(F.col("core"), "core"))
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT i, max(d) AS core FROM k WHERE rk <= 4 GROUP BY i) SELECT q.i, q.j, round(greatest(d, a.core, b.core), 6) AS reach FROM q JOIN c a ON a.i = q.i JOIN c b ON b.i = q.j WHERE q.i < q.j")
+def reachability_pairs(spark, sf_dir):
+    return geo.reachability(geo.pair_distances(_points(spark, sf_dir)), 5).select("i", "j", _r(F.col("reach"), "reach"))
+
+
+@query(
+    f"WITH {_PAIRS}, s AS (SELECT li, avg(CASE WHEN li <> lj THEN 1.0::DOUBLE ELSE 0 END) AS s FROM k WHERE rk <= 5 GROUP BY li), c AS (SELECT li, avg(d) AS c FROM q WHERE i < j AND li = lj GROUP BY li) "
+    "SELECT round((SELECT max(s) FROM s), 6) AS separation, round((SELECT sum(c) FROM c), 6) AS compactness"
+)
+def cvnn_embeddings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return geo.cvnn(geo.pair_distances(points), points.select("id", "label"), 5)
+
+
+@query(f"WITH {_PAIRS} SELECT li AS label, round(max(d), 6) AS diameter FROM q WHERE i < j AND li = lj GROUP BY li")
+def cluster_diameter(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    labels = points.select("id", "label")
+    pairs = geo.pair_distances(points).where("i < j").join(labels.withColumnRenamed("id", "i"), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
+    return pairs.where("label = lj").groupBy("label").agg(_r(F.max("d"), "diameter"))
+
+
+@query(f"WITH {_PAIRS}, m AS (SELECT 0.5*avg(d) AS r FROM q WHERE i < j) SELECT i, count(*) FILTER (d <= r) AS degree FROM q, m GROUP BY i")
+def radius_degree(spark, sf_dir):
+    pairs = geo.pair_distances(_points(spark, sf_dir))
+    radius = pairs.where("i < j").agg((0.5 * F.avg("d")).alias("r"))
+    return pairs.crossJoin(F.broadcast(radius)).groupBy("i").agg(F.count(F.when(F.col("d") <= F.col("r"), 1)).alias("degree"))
+
+
+@query(f"WITH {_CENTRES}, d AS (SELECT p.id, c.label AS k, 1/(1 + list_sum(list_transform(list_zip(p.f, c.c), lambda e: (e[1] - e[2]) ** 2))) AS q FROM p, c) SELECT id, k AS cluster, round(q / sum(q) OVER (PARTITION BY id), 6) AS q FROM d")
+def dec_soft_assignment(spark, sf_dir):
+    return _soft(spark, sf_dir).select("id", "cluster", _r(F.col("q"), "q"))
+
+
+def _soft(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    held = geo.centroids(points).agg(F.collect_list(F.struct("label", "centroid")).alias("c"))
+    weights = F.transform("c", lambda c: F.struct(c["label"].alias("cluster"), (1 / (1 + geo.squared_distance(F.col("features"), c["centroid"]))).alias("q")))
+    rows = points.crossJoin(F.broadcast(held)).select("id", weights.alias("w"))
+    rows = rows.select("id", F.aggregate("w", F.lit(0.0), lambda s, x: s + x["q"]).alias("s"), F.explode("w").alias("w"))
+    return rows.select("id", "w.cluster", (F.col("w.q") / F.col("s")).alias("q"))
+
+
+@query(
+    f"WITH {_CENTRES}, d AS (SELECT p.id, c.label AS k, 1/(1 + list_sum(list_transform(list_zip(p.f, c.c), lambda e: (e[1] - e[2]) ** 2))) AS q FROM p, c), s AS (SELECT id, k, q / sum(q) OVER (PARTITION BY id) AS q FROM d), "
+    "t AS (SELECT id, k, q*q / sum(q) OVER (PARTITION BY k) AS w FROM s) SELECT id, k AS cluster, round(w / sum(w) OVER (PARTITION BY id), 6) AS p FROM t"
+)
+def dec_target_distribution(spark, sf_dir):
+    soft = _soft(spark, sf_dir)
+    mass = soft.groupBy("cluster").agg(F.sum("q").alias("f"))
+    weighted = soft.join(mass, "cluster").select("id", "cluster", (F.col("q") * F.col("q") / F.col("f")).alias("w"))
+    return weighted.select("id", "cluster", _r(F.col("w") / F.sum("w").over(Window.partitionBy("id")), "p"))
+
+
+@query(
+    "WITH g AS (SELECT p_partkey AS id, p_size AS n, (p_partkey % 50) / 200.0::DOUBLE AS dip FROM part), e AS (SELECT *, exp(-(17.30784022*sqrt(n) + 12.04917889)*dip + 6.5) AS e FROM g) "
+    "SELECT id, round(CASE WHEN n < 4 THEN 1.0::DOUBLE ELSE 1 - 1/(0.6*pow(1 + 1.6*e, 0.625) + 0.4*pow(1 + 0.2*e, 5)) END, 6) AS p FROM e"
+)
+def dip_pval_function_grid(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("id"), _r(dip.p_value((F.col("p_partkey") % 50) / 200.0, F.col("p_size")), "p"))
+
+
+@query()
+def dip_by_event_type(spark, sf_dir):
+    found = dip.dip_by_group(_table(spark, sf_dir, "events"), "event_type", "value")
+    return found.select(F.col("group").alias("event_type"), "n", _r(F.col("dip"), "dip"), _r(dip.p_value(F.col("dip"), F.col("n")), "p"))
+
+
+@query("WITH v AS (SELECT l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT x, round(sum(n) OVER (ORDER BY x) / sum(n) OVER (), 6) AS ecdf FROM v")
+def ecdf_lineitem_quantity(spark, sf_dir):
+    counts = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("m"))
+    return counts.crossJoin(F.broadcast(total)).select("x", _r(F.sum("n").over(Window.orderBy("x")) / F.col("m"), "ecdf"))
+
+
+@query(
+    "WITH v AS (SELECT l_extendedprice AS x, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1), "
+    "c AS (SELECT abs(sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(r) OVER (ORDER BY x) / sum(r) OVER ()) AS d FROM v) SELECT round(max(d), 6) AS ks FROM c"
+)
+def ks_two_sample_by_flag(spark, sf_dir):
+    """Kolmogorov-Smirnov distance of two samples; cumulative counts by range partitions, so no task sorts all rows."""
+    items = _table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
+    counts = items.groupBy(F.col("l_extendedprice").alias("x")).agg(F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("a"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("r"))
+    counts = counts.withColumn("bucket", F.floor(F.col("x") / 1000))
+    own = Window.partitionBy("bucket").orderBy("x")
+    sums = counts.groupBy("bucket").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    total = sums.agg(F.sum("a").alias("ma"), F.sum("r").alias("mr"))
+    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("bucket", F.coalesce(F.sum("a").over(below), F.lit(0)).alias("pa"), F.coalesce(F.sum("r").over(below), F.lit(0)).alias("pr"))
+    ranked = counts.select("bucket", F.sum("a").over(own).alias("ca"), F.sum("r").over(own).alias("cr")).join(before, "bucket").crossJoin(F.broadcast(total))
+    return ranked.agg(_r(F.max(F.abs((F.col("pa") + F.col("ca")) / F.col("ma") - (F.col("pr") + F.col("cr")) / F.col("mr"))), "ks"))
+
+
+@query("WITH c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)) SELECT o_orderkey, code::INT AS code FROM orders JOIN c USING (o_orderpriority)")
+def label_encoding(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    codes = orders.select("o_orderpriority").distinct().withColumn("code", F.row_number().over(Window.orderBy("o_orderpriority")) - 1)
+    return orders.join(codes, "o_orderpriority").select("o_orderkey", "code")
+
+
+@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
+def tf_df(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
+    per_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
