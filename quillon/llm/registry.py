@@ -9,6 +9,7 @@ from quillon.llm.packing import op4_best_fit_packing
 from quillon.llm.pii import op1_pii
 from quillon.llm.quality import op8_quality_classifier
 from quillon.llm.simhash import op10_simhash_near_dedup
+from quillon.llm.suffixes import op5_suffix_dedup
 from quillon.llm.tokens import op9_token_counts
 from quillon.llm.urls import op7_url_filter
 
@@ -19,6 +20,7 @@ QUERIES = {
         op2_document_fingerprints,
         op3_decontamination,
         op4_best_fit_packing,
+        op5_suffix_dedup,
         op6_language_id,
         op7_url_filter,
         op8_quality_classifier,
