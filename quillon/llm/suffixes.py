@@ -36,7 +36,7 @@ from quillon.llm.common import shuffle_partitions, table
 
 LENGTH, GRAM = 200, 50
 #: Bytes of text whose anchors are sought at once, and of entries in one run.
-BLOCK_BYTES, RUN_BYTES = 4 << 20, 48 << 20
+BLOCK_BYTES, RUN_BYTES = 256 << 10, 48 << 20
 BUCKETS_PER_PARTITION = 8
 
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint64)
