@@ -29,6 +29,7 @@ import pickle
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,7 +292,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             for bucket, rows in per.items():
                 rows.sort(key=lambda r: r[0])
                 shared, rests = front_code([r[0] for r in rows])
-                yield bucket, pickle.dumps((shared, rests, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]), 5)
+                yield bucket, zstandard.compress(pickle.dumps((shared, rests, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]), 5), 3)
             entries.clear()
             held = 0
 
@@ -340,7 +341,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     dealt = runs.repartition(F.col("bucket")).sortWithinPartitions("bucket")
 
     def settle(held: list[bytes]):
-        loaded = [pickle.loads(x) for x in held]
+        loaded = [pickle.loads(zstandard.decompress(x)) for x in held]
         entry, offset = repeated_starts([x[:4] for x in loaded], length)
         postings = [p for x in loaded for p in x[4]]
         named = np.array([p is not None for p in postings], bool)
