@@ -116,11 +116,15 @@ class Encoder(dict):
                 found.extend(map(self.__getitem__, self.find(piece)))
         return found
 
+    def _plain(self, text: str) -> bool:
+        """Whether a text has neither special strings nor characters of unknown class."""
+        return not any(x in text for x in self.special) and not self.odd(text)
+
     def count(self, text: str) -> int:
-        return sum(self.parts(text))
+        return sum(map(self.__getitem__, self.find(text)) if self._plain(text) else self.parts(text))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.parts(text))
+        return b"".join(map(self.__getitem__, self.find(text)) if self._plain(text) else self.parts(text))
 
 
 def default_path() -> str:
