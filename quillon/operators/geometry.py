@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points above which all-pairs operators refuse to run.
 MAX_ALL_PAIRS = 200_000
+#: Points in a block of an all-pairs tile.
+BLOCK = 256
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -38,12 +42,29 @@ def lloyd_step(df: DataFrame, centres: DataFrame, id_col: str = "id", features:
 
 
 def pair_distances(df: DataFrame, id_col: str = "id", features: str = "features", limit: int = MAX_ALL_PAIRS) -> DataFrame:
-    """(i, j, d) over all ordered pairs of different points."""
+    """(i, j, d) over all ordered pairs of different points.
+
+    Points are held in blocks of about BLOCK; a pair of blocks is one tile,
+    measured at once in numpy, so a task holds two blocks however many points
+    there are.
+    """
     if (n := df.count()) > limit:
         raise ValueError(f"{n} points are too many for all pairs; limit {limit}")
-    a = df.select(F.col(id_col).alias("i"), F.col(features).alias("fi"))
-    b = df.select(F.col(id_col).alias("j"), F.col(features).alias("fj"))
-    return a.join(b, F.col("i") != F.col("j")).select("i", "j", F.sqrt(squared_distance(F.col("fi"), F.col("fj"))).alias("d"))
+    kind = df.schema[id_col].dataType.simpleString()
+    held = df.select(F.pmod(F.hash(id_col), F.lit(max(1, -(-n // BLOCK)))).alias("block"), F.struct(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("f")).alias("p"))
+    held = held.groupBy("block").agg(F.collect_list("p.id").alias("ids"), F.collect_list("p.f").alias("fs"))
+    tiles = held.crossJoin(held.select(F.col("ids").alias("ids2"), F.col("fs").alias("fs2")))
+
+    def measure(frames):
+        for frame in frames:
+            for ids, fs, ids2, fs2 in zip(frame["ids"], frame["fs"], frame["ids2"], frame["fs2"]):
+                x, y = np.stack(fs), np.stack(fs2)
+                d = np.stack([np.sqrt(((row - y) ** 2).sum(axis=1)) for row in x])
+                i, j = np.repeat(np.asarray(ids), len(ids2)), np.tile(np.asarray(ids2), len(ids))
+                other = i != j
+                yield pd.DataFrame({"i": i[other], "j": j[other], "d": d.ravel()[other]})
+
+    return tiles.select("ids", "fs", "ids2", "fs2").repartition(F.xxhash64("ids", "ids2")).mapInPandas(measure, f"i {kind}, j {kind}, d double")
 
 
 def neighbours(pairs: DataFrame, k: int) -> DataFrame:
