@@ -65,11 +65,14 @@ def share(spark: SparkSession, value):
 
 
 def built(shared, make, *args):
-    """What ``make(value, *args)`` gives for a shared value, made once in a Python worker; the last few are kept."""
+    """What ``make(value, *args)`` gives for a shared value, made once in a Python worker.
+
+    Workers outlive a job, so a newer value replaces what was built by the same
+    maker from an older one.
+    """
     name, value = shared.value
-    key = (name, make.__qualname__, args)
-    if key not in _BUILT:
-        while len(_BUILT) >= 4:
-            _BUILT.pop(next(iter(_BUILT)))
-        _BUILT[key] = make(value, *args)
-    return _BUILT[key]
+    key = (make.__qualname__, args)
+    if key not in _BUILT or _BUILT[key][0] != name:
+        _BUILT.pop(key, None)
+        _BUILT[key] = (name, make(value, *args))
+    return _BUILT[key][1]
