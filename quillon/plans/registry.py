@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions import costs, dip
 from quillon.operators import contingency as ct
 from quillon.operators import geometry as geo
+from quillon.operators import labelings, partition, trees
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,3 +296,98 @@ def tf_df(spark, sf_dir):
     terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
     per_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    """(leaf, path) of the tree world, region, nation."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("leaf"), F.array(F.lit("world"), F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("n"), "n_nationkey")).alias("path"))
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("leaf"), F.col("c_mktsegment").alias("true"))
+
+
+_NODES = (
+    "c AS (SELECT c_nationkey AS leaf, c_mktsegment AS true_, count(*) AS n FROM customer GROUP BY ALL), s AS (SELECT leaf, n, true_, n_regionkey AS region FROM c JOIN nation ON n_nationkey = leaf), "
+    "u AS (SELECT 'n' || leaf AS node, 'r' || region AS parent, true_, n FROM s UNION ALL SELECT 'r' || region, 'world', true_, n FROM s UNION ALL SELECT 'world', NULL, true_, n FROM s), "
+    "nodes AS (SELECT node, parent, true_, sum(n) AS n FROM u GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_NODES}, w AS (SELECT *, n / sum(n) OVER (PARTITION BY node) AS share, n * (n - 1) / 2 AS pairs FROM nodes), b AS (SELECT parent AS node, true_, sum(pairs) AS below FROM w WHERE parent IS NOT NULL GROUP BY ALL) "
+    "SELECT round(sum((pairs - coalesce(below, 0)) * share) / sum(pairs - coalesce(below, 0)), 6) AS dendrogram_purity FROM w LEFT JOIN b USING (node, true_)"
+)
+def dendrogram_purity_nations(spark, sf_dir):
+    return trees.dendrogram_purity(_customers(spark, sf_dir), _nations(spark, sf_dir))
+
+
+@query(f"WITH {_NODES} SELECT node, round(max(n) / sum(n), 6) AS purity FROM nodes GROUP BY node")
+def node_purity_nations(spark, sf_dir):
+    return trees.node_purity(_customers(spark, sf_dir), _nations(spark, sf_dir))
+
+
+@query(f"WITH {_NODES}, b AS (SELECT max(n) AS best, sum(n) AS size FROM nodes WHERE node LIKE 'n%' GROUP BY node) SELECT round(sum(best) / sum(size), 6) AS leaf_purity FROM b")
+def leaf_purity_nations(spark, sf_dir):
+    return trees.leaf_purity(_customers(spark, sf_dir))
+
+
+@query(
+    "WITH d AS (SELECT lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)), "
+    "p AS (SELECT unnest([{'name': 'lang', 'label': lang}, {'name': 'source', 'label': source}]) AS t, [{'name': 'quality', 'label': quality::VARCHAR}, {'name': 'toxic', 'label': toxic::VARCHAR}] AS ps FROM d), "
+    "q AS (SELECT t, unnest(ps) AS p FROM p), n AS (SELECT t.name AS t, p.name AS p, t.label AS a, p.label AS b, count(*) AS n FROM q GROUP BY ALL), "
+    "e AS (SELECT t, p, sum(n) AS m, sum(n * ln(n)) AS s FROM n GROUP BY ALL), ea AS (SELECT t, p, sum(n * ln(n)) AS s FROM (SELECT t, p, a, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL), "
+    "eb AS (SELECT t, p, sum(n * ln(n)) AS s FROM (SELECT t, p, b, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL), "
+    "h AS (SELECT t, p, ln(m) - e.s / m AS hab, ln(m) - ea.s / m AS ha, ln(m) - eb.s / m AS hb FROM e JOIN ea USING (t, p) JOIN eb USING (t, p)) "
+    'SELECT t AS "true", p AS pred, round(CASE WHEN ha + hb < 1e-12 THEN 1.0::DOUBLE ELSE 2 * (ha + hb - hab) / (ha + hb) END, 6) + 0.0::DOUBLE AS nmi FROM h'
+)
+def labelings_matrix(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return labelings.labelings_matrix(docs, ["lang", "source"], ["quality", "toxic"])
+
+
+@query(f"WITH {_LONG}, m AS (SELECT dim, avg(x) AS m FROM l GROUP BY dim) SELECT round(sum((x - m) ** 2), 6) AS dispersion FROM l JOIN m USING (dim)")
+def gap_dispersion_k1(spark, sf_dir):
+    long = _points(spark, sf_dir).select(F.posexplode("features").alias("dim", "x"))
+    return long.groupBy("dim").agg((F.var_pop("x") * F.count("x")).alias("s")).agg(_r(F.sum("s"), "dispersion"))
+
+
+@query(
+    f"WITH {_LONG}, m AS (SELECT label, dim, avg(x) AS m FROM l GROUP BY ALL), z AS (SELECT id, label, dim, x - m AS z FROM l JOIN m USING (label, dim) WHERE dim <= 4) "
+    "SELECT a.label AS label, a.dim::INT - 1 AS i, b.dim::INT - 1 AS j, round(sum(a.z * b.z), 6) AS s FROM z a JOIN z b ON a.id = b.id AND a.label = b.label AND a.dim <= b.dim GROUP BY ALL"
+)
+def scatter_matrix_by_label(spark, sf_dir):
+    """Upper triangles of the scatter matrices of the first four dimensions; expanded within rows, with no join."""
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.transform(F.sequence(i, F.lit(3)), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("features", i).alias("x"), F.get("features", j).alias("y")))))
+    long = _points(spark, sf_dir).select("label", F.explode(cells).alias("e"))
+    return long.groupBy("label", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(_r(F.covar_pop("e.x", "e.y") * F.count("*"), "s"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
+    "f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (term), n) "
+    "SELECT doc_id, count(*) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM w GROUP BY doc_id"
+)
+def tfidf_smooth_l2(spark, sf_dir):
+    """Smoothed, length-normalised tf-idf weights: number of terms and largest weight of each document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
+    tf = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").alias("n"))
+    w = tf.join(df, "term").crossJoin(F.broadcast(total)).select("doc_id", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    return w.groupBy("doc_id").agg(F.count("*").alias("n_terms"), _r(F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w"))), "top"))
+
+
+@query()
+def xmeans_embeddings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return partition.xmeans(points, 2, 16).predict(points).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def gmeans_lineitem(spark, sf_dir):
+    columns = ("l_quantity", "l_discount", "l_tax")
+    items = _table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
+    return partition.gmeans(items, 1, 8).predict(items).groupBy("cluster").agg(F.count("*").alias("n"))
