@@ -266,3 +266,22 @@ def scatter(points: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     d = int((math.sqrt(4 * len(flat) - 3) - 1) / 2)
     n, s, q = flat[0], flat[1 : d + 1], flat[d + 1 :].reshape(d, d)
     return int(n), s / n, q - np.outer(s, s) / n
+
+
+def scatter_by_label(points: DataFrame) -> DataFrame:
+    """(label, i, j, s): upper triangles, over all dimensions, of the scatter matrix of each label; d x d partial sums per task."""
+
+    def add(frames):
+        held = {}
+        for frame in frames:
+            for label, part in frame.groupby("label", dropna=False):
+                label = None if pd.isna(label) else int(label)
+                x = np.stack(part["features"]).astype(float)
+                n, s, q = held.get(label, (0, 0.0, 0.0))
+                held[label] = n + len(x), s + x.sum(0), q + x.T @ x
+        for label, (n, s, q) in held.items():
+            i, j = np.triu_indices(len(s))
+            yield pd.DataFrame({"label": pd.array([label] * len(i), dtype="Int32"), "i": i, "j": j, "n": n, "a": s[i], "b": s[j], "q": q[i, j]})
+
+    rows = points.select("label", "features").mapInPandas(add, "label int, i int, j int, n long, a double, b double, q double")
+    return rows.groupBy("label", "i", "j").agg((F.sum("q") - F.sum("a") * F.sum("b") / F.sum("n")).alias("s"))

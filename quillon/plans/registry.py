@@ -364,6 +364,12 @@ def scatter_matrix_by_label(spark, sf_dir):
     return long.groupBy("label", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(_r(F.covar_pop("e.x", "e.y") * F.count("*"), "s"))
 
 
+@query()
+def scatter_matrix_by_label_all_dims(spark, sf_dir):
+    """Upper triangles of the scatter matrices of all dimensions; the SQL of the query above holds the first four only."""
+    return partition.scatter_by_label(_points(spark, sf_dir)).select("label", "i", "j", _r("s", "s"))
+
+
 @query(
     "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
     "f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (term), n) "
