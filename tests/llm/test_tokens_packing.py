@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm.packing import fillings, fits_into, op4_best_fit_packing, pack, plan, sequences, solve, token_pieces
+from quillon.llm.packing import _Stock, dominated, op4_best_fit_packing, pack, plan, sequences, solve, token_pieces
 from quillon.llm.tokens import Encoder, default_path, prove, token_counts
 
 TEXTS = ["", None, "  ", "a  b\n\n c", "x<|endoftext|> y<|endoftext|>", "日本語 テスト", "don't we'll I'VE 12 12a \x1c\x1d \x85\xa0 z", "é" * 5000, " " * 3000 + "a", "a\t\n b", " \n<|endoftext|>", "ǅ ª² ½ ſ", "word " * 9000]
@@ -36,12 +36,35 @@ def test_proven_tokens_and_random_texts(library):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def fits_into(small, large):
+    """Whether the items of small can be packed into items of large as bins, by trying all ways."""
+    if not small:
+        return True
+    return any(small[0] <= room and fits_into(small[1:], (*large[:k], room - small[0], *large[k + 1 :])) for k, room in enumerate(large))
+
+
+def all_fillings(items, room):
+    found = {()}
+    for x in items:
+        found |= {tuple(sorted((*f, x), reverse=True)) for f in found if sum(f) + x <= room}
+    return found
+
+
 def test_fillings_are_undominated():
     assert fits_into((3, 2), (5,)) and not fits_into((3, 3), (5,)) and fits_into((2, 2, 1), (3, 2))
-    counts = Counter({5: 2, 4: 1, 3: 2, 2: 2, 1: 1})
-    found = fillings(sorted(counts), counts, 7)
-    assert sum(found[0]) == 7
-    assert not any(a != b and fits_into(a, b) for k, b in enumerate(found) for a in found[k + 1 :])
+    rng = random.Random(5)
+    for _ in range(40):
+        items, room = [rng.randint(1, 9) for _ in range(rng.randint(1, 7))], rng.randint(1, 16)
+        every = all_fillings(items, room)
+        best = {f for f in every if not any(g != f and fits_into(f, g) and not (fits_into(g, f) and len(g) > len(f)) for g in every)}
+        for even in (False, True):
+            stock = _Stock(Counter(items), 20)
+            listed = list(stock.fillings(room, even, False))
+            found = [f for f in listed if f is not None]
+            assert len(set(found)) == len(found) and [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+            assert set(found) == best, (items, room)
+            assert set(_Stock(Counter(items), 20).fillings(room, even, True)) == every
+    assert dominated((2, 2), 0, 1 << 4) and not dominated((4,), 0, 1 << 2) and dominated((), 3, 1 << 3)
 
 
 def optimum(items, capacity):
@@ -74,6 +97,22 @@ def test_solver_reaches_the_optimum_of_small_cases():
         assert sum(n for _, n in patterns) == optimum(items, 100)
 
 
+def test_narrow_histogram_is_near_its_bound():
+    rng = np.random.default_rng(1)
+    histogram = Counter(np.clip(rng.lognormal(5.9, 0.3, 48_000).astype(int), 1, 2048).tolist())
+    patterns = solve(histogram)
+    bound = -(-sum(x * n for x, n in histogram.items()) // 2048)
+    assert sum(n for _, n in patterns) <= bound * 1.003
+    assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in patterns), Counter()) == histogram
+
+
+def test_names_of_the_caller_do_not_clash(spark):
+    pieces = spark.createDataFrame([(1, 0, 5, 7, 8, 9, "a"), (2, 0, 6, 7, 8, 9, "b")], "doc_id int, piece int, length long, salt int, rank int, row int, `a.b` string")
+    packed = pack(pieces, capacity=12)
+    assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert sorted((r["doc_id"], r["salt"], r["rank"], r["row"], r["a.b"]) for r in packed.collect()) == [(1, 7, 8, 9, "a"), (2, 7, 8, 9, "b")]
+
+
 def test_large_histogram_is_near_its_bound():
     rng = random.Random(1)
     histogram = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(100_000))
