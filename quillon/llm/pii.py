@@ -1,14 +1,20 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Base identifiers (email, ip, card, phone) are found by patterns.  They are the
-seeds: the one or two words right before an occurrence form a lexical pattern,
-and every other token that has digits or an at sign is a candidate with its own
-lexical pattern.  The graph of patterns and instances, one row for each pair
-with its count, is scored in rounds: a pattern's confidence for a kind is the
-share of its occurrences whose instance is accepted for the kind, and an
-instance not seen before is accepted if a pattern of high confidence and enough
-distinct support holds it.  In the end the candidates that stand in such a
-pattern are reported beside the base spans.
+Base identifiers (email, ip, card, phone) are found by patterns.  They are seeds,
+and so are long hexadecimal strings for the kind ``secret``.  The words around an
+occurrence form its lexical patterns: the two words before it, the one before,
+the one after, and the one before with the one after.  Every other token that
+has an at sign or at least four digits, and every group of adjoining number
+tokens, is a candidate with lexical patterns of its own.  The graph of patterns
+and instances, one row for each pair with its count, is scored in rounds: a
+pattern's confidence for a kind is the share of its occurrences whose instance
+is accepted for the kind, and an instance is accepted if it is a seed or stands
+in patterns of high confidence and enough distinct support for half of its
+occurrences or more.  Both sets only grow, and rounds end when no pair of
+instance and kind is new.  Occurrences that stand in a pattern of high
+confidence are then reported beside the base spans.  A seed of the kind secret
+is no base span; it is reported where its context is confirmed, so that a bare
+digest in running text is left alone.
 
 The regular expressions match what the plain ones in the comments match, in
 linear time: possessive loops, and starts only where a run begins (or where the
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import reliable, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans, in the order of the result.
+ADDED = (*KINDS, "secret")
 #: The base patterns in the order of KINDS.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -34,23 +42,29 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Any other token with a digit or an at sign.
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Rounds of scoring, and what a pattern needs: confidence and distinct instances of its kind.
-ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
-#: Characters before an occurrence that are looked at for its context.
-REACH = 48
+#: Adjoining number tokens, and any other token with a digit or an at sign.
+TOKEN = r"(?<!\S)\(?+[0-9](?:[()./-]*+\x20?+\(?+[0-9])*+(?![\p{L}\p{N}@_])|(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Fixed value: seeds of the kind secret, hexadecimal strings with digits and letters.
+SECRET = "^(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}$"
+#: What a pattern needs: confidence and distinct instances of its kind; and the share of an instance's occurrences that must stand in such patterns.
+CONFIDENCE, SUPPORT, SHARE = 0.8, 5, 0.5
 
 
 #: Matches that are placed together; keeps the placing of n matches at n * RUN + (n / RUN)^2 steps.
 RUN = 64
-_SPAN = "struct<start:int,end:int,value:string,before:string>"
+_SPAN = "struct<start:int,end:int,value:string,before:string,after:string>"
 
 
-def _located(text: Column, pattern: str, hint: Column) -> Column:
-    """array<struct<start,end,value,before>> of the matches, in code points, end exclusive.
+def _plain(text: Column) -> Column:
+    """Runs of white space as one space."""
+    return F.regexp_replace(text, r"\s+", " ")
 
-    ``before`` is the end of the text between the match and the one before it.
+
+def _located(text: Column, pattern: str, hint: Column, words: bool = False) -> Column:
+    """array<struct<start,end,value,before,after>> of the matches, in code points, end exclusive.
+
+    ``before`` and ``after``: the last two words and the first word of the text
+    between the match and its neighbours.
     ``hint``: a cheap test that every text with a match passes.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -59,7 +73,7 @@ def _located(text: Column, pattern: str, hint: Column) -> Column:
     def append(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.length(m["gap"])
         end = start + F.length(m["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"), F.right(m["gap"], F.lit(REACH)).alias("before"))
+        span = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
         return F.when(m["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
     def run(part: Column) -> Column:
@@ -67,12 +81,18 @@ def _located(text: Column, pattern: str, hint: Column) -> Column:
 
     def join(acc: Column, part: Column) -> Column:
         def move(m: Column) -> Column:
-            return F.struct((acc["at"] + m["start"]).alias("start"), (acc["at"] + m["end"]).alias("end"), m["value"].alias("value"), m["before"].alias("before"))
+            return F.struct((acc["at"] + m["start"]).alias("start"), (acc["at"] + m["end"]).alias("end"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
 
         return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(part["out"], move))).alias("out"))
 
     # one gap more than values; its value is null
-    pairs = F.arrays_zip(found.alias("value"), between.alias("gap"))
+    if words:
+        first = lambda gap: F.substring_index(F.ltrim(_plain(gap)), " ", 1)
+        last = lambda gap: F.substring_index(F.rtrim(_plain(gap)), " ", -2)
+        after = F.transform(F.slice(between, F.lit(2), F.size(between)), first)
+        pairs = F.arrays_zip(found.alias("value"), between.alias("gap"), F.transform(between, last).alias("before"), after.alias("after"))
+    else:
+        pairs = F.transform(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda m: F.struct(m["value"].alias("value"), m["gap"].alias("gap"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after")))
     runs = F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(RUN)), lambda k: run(F.slice(p, k, RUN))))[0]
     start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{_SPAN}>>)").alias("out"))
     placed = F.aggregate(runs, start, join, lambda acc: F.flatten(acc["out"]))
@@ -96,11 +116,18 @@ def _valid(kind: str, value: Column) -> Column:
     return (F.length(digits) >= 8) & (F.length(digits) <= 15)
 
 
-def _context(before: Column) -> Column:
-    """The last one or two words before an occurrence, lower-cased, digits as 0; null if there is none."""
-    words = F.regexp_extract(before, r"(?:(?:^|\s)(\S+))?(?:^|\s)\S+\s*$", 0)
-    words = F.regexp_replace(F.lower(F.trim(F.regexp_replace(words, r"\s+", " "))), "[0-9]", "0")
-    return F.when(words.rlike(r"[\p{L}]"), words)
+def _contexts(before: Column, after: Column) -> Column:
+    """The lexical patterns of an occurrence: lower-cased words without punctuation but = : _ -, digits as 0, each with a letter."""
+    clean = lambda words: F.regexp_replace(F.regexp_replace(F.lower(words), r"[^\p{L}\p{N}=:_ -]", ""), r"\p{N}", "0")
+    two, one, next_one = clean(before), clean(F.substring_index(before, " ", -1)), clean(after)
+    named = lambda mark, words: F.when(words.rlike(r"\p{L}"), F.concat(F.lit(mark), words))
+    found = F.array(
+        named("2 ", F.when(two.rlike(r"\S \S"), two)),
+        named("1 ", one),
+        named("+ ", next_one),
+        named("& ", F.when((one != "") & (next_one != ""), F.concat(one, F.lit(" _ "), next_one))),
+    )
+    return F.filter(found, lambda c: c.isNotNull())
 
 
 def base_spans(text: Column) -> Column:
@@ -114,65 +141,79 @@ def base_spans(text: Column) -> Column:
 
 
 def occurrences(text: Column) -> Column:
-    """array<struct<start,end,value,context,kind>> of identifiers and candidate tokens that have a context.
+    """array<struct<start,end,value,contexts,kind>> of identifiers and candidates that have a context.
 
-    ``kind`` is that of a seed, null for other candidates, which have at least
-    four digits or an at sign.
+    ``kind`` is that of a seed, null for other candidates.  Candidates are
+    trimmed of punctuation; they have an at sign or at least four digits.
     """
     any_of = "|".join([PATTERNS["phone"], PATTERNS["ip"], PATTERNS["card"], PATTERNS["email"].replace("|\\G", ""), TOKEN])
     whole = {kind: f"^(?:{PATTERNS[kind].replace('|\\G', '')})$" for kind in KINDS}
 
     def kind_of(value: Column) -> Column:
-        out = F.lit(None).cast("string")
+        out = F.when(value.rlike(SECRET), F.lit("secret"))
         for kind in ("card", "ip", "email", "phone"):
             out = F.when(value.rlike(whole[kind]) & _valid(kind, value), F.lit(kind)).otherwise(out)
         return out
 
+    def trimmed(m: Column) -> Column:
+        rest = F.regexp_replace(m["value"], r"^[^\p{L}\p{N}(+]+", "")
+        value = F.regexp_replace(rest, r"[^\p{L}\p{N})]++$", "")
+        start = m["start"] + F.length(m["value"]) - F.length(rest)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), m["before"].alias("before"), m["after"].alias("after"))
+
     marked = F.transform(
-        _located(text, any_of, text.rlike("[0-9@]")),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), _context(m["before"]).alias("context"), kind_of(m["value"]).alias("kind")),
+        F.transform(_located(text, any_of, text.rlike("[0-9@]"), words=True), trimmed),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lower(m["value"]).alias("value"), _contexts(m["before"], m["after"]).alias("contexts"), kind_of(m["value"]).alias("kind")),
     )
     return F.filter(
         marked,
-        lambda m: m["context"].isNotNull() & (m["kind"].isNotNull() | m["value"].contains("@") | (F.length(F.regexp_replace(m["value"], "[^0-9]", "")) >= 4)),
+        lambda m: (F.size(m["contexts"]) > 0) & (m["kind"].isNotNull() | m["value"].contains("@") | (F.length(F.regexp_replace(m["value"], "[^0-9]", "")) >= 4)),
     )
 
 
-def learn(seen: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def learn(seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(context, kind) of the patterns of high confidence.
 
-    ``seen``: rows (context, value, kind) of occurrences, kind null if unknown.
+    ``seen``: rows (contexts, value, kind) of occurrences, kind null if
+    unknown.  A value that is a seed of several kinds counts for each.
     """
-    edges = reliable(seen.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
-    known = edges.where("kind is not null").select("value", "kind").distinct()
-    totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    good = None
-    for _ in range(rounds):
-        hits = edges.select("context", "value", "n").join(known, "value").groupBy("context", "kind").agg(F.sum("n").alias("hit"), F.count("*").alias("distinct"))
-        scored = hits.where(F.col("distinct") >= support).join(totals, "context").where(F.col("hit") >= confidence * F.col("total"))
-        good = reliable(scored.select("context", "kind"))
-        found = edges.where("kind is null").select("context", "value").join(good, "context").select("value", "kind")
-        known = edges.where("kind is not null").select("value", "kind").unionAll(found).distinct()
-    return good
+    rows = reliable(seen.groupBy("contexts", "value").agg(F.count("*").alias("n"), F.collect_set("kind").alias("kinds")))
+    edges = rows.select(F.explode("contexts").alias("context"), "value", "n").groupBy("context", "value").agg(F.sum("n").alias("n"))
+    totals = edges.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("instances")).where(F.col("instances") >= support)
+    # a pattern with fewer instances can never have the support
+    edges = reliable(edges.join(totals.drop("instances"), "context"))
+    amounts = rows.groupBy("value").agg(F.sum("n").alias("amount"))
+    known = reliable(rows.select("value", F.explode("kinds").alias("kind")).distinct())
+    while True:
+        hits = edges.join(known, "value").groupBy("context", "kind").agg(F.sum("n").alias("hit"), F.count("*").alias("distinct"), F.first("total").alias("total"))
+        good = reliable(hits.where((F.col("distinct") >= support) & (F.col("hit") >= confidence * F.col("total"))).select("context", "kind"))
+        # an occurrence counts once, however many of its patterns are good
+        apart = rows.withColumn("row", F.struct("contexts", "value")).select("row", "value", "n", F.explode("contexts").alias("context"))
+        standing = apart.join(good, "context").select("row", "value", "n", "kind").distinct().groupBy("value", "kind").agg(F.sum("n").alias("hit"))
+        accepted = standing.join(amounts, "value").where(F.col("hit") >= share * F.col("amount")).select("value", "kind")
+        new = reliable(accepted.join(known, ["value", "kind"], "left_anti"))
+        if not new.limit(1).count():
+            return good
+        known = reliable(known.unionAll(new))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hash, base, added) of every row: arrays of struct<kind,start,end>.
 
-    ``hash`` is that of the text; null texts count as empty.  Added spans never
-    overlap a base span.  Repeated rows give equal rows; null ids are kept; a
+    ``hash`` is that of the text; null texts count as empty.  Added spans are
+    never part of a base span.  Repeated rows give equal rows; null ids are kept; a
     table without seeds learns nothing and adds nothing; other columns are not
     read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = reliable(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), base_spans(text).alias("base"), occurrences(text).alias("seen")))
     rows = own.select("id", "hash", "base", F.explode("seen").alias("m")).select("id", "hash", "base", "m.*")
-    good = learn(rows.select("context", "value", "kind"))
+    good = learn(rows.select("contexts", "value", "kind"))
     new = (
-        rows.where("kind is null")
-        .drop("kind")
+        rows.where("kind is null or kind = 'secret'")
+        .where(~F.exists("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end"))))
+        .select("id", "hash", "start", "end", F.explode("contexts").alias("context"))
         .join(good, "context")
-        .where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))))
         .groupBy("id", "hash")
         .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
         .withColumnsRenamed({"id": "of_id", "hash": "of_hash"})
@@ -186,15 +227,20 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, with each span in the text replaced by its kind in brackets; null texts stay null."""
+    """The documents, all columns, with each span in the text replaced by its kind in brackets.
+
+    Null texts and null ids stay null, repeated rows stay, an empty table stays
+    empty; other columns may have any name.
+    """
     found = find(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("added") > 0))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    found = found.select(F.col("id").alias("__pii_id"), F.col("hash").alias("__pii_hash"), spans.alias("__pii_spans")).distinct()
-    rows = docs.withColumn("__pii_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = rows.join(found, (F.col("__pii_own") == F.col("__pii_hash")) & F.col(id_col).eqNullSafe(F.col("__pii_id")), "left")
-    text = F.col(text_col)
+    found = found.select("id", "hash", spans.alias("spans")).distinct()
+    # the caller's columns stay in one struct, so that no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")[text_col]
+    joined = rows.join(found, (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("hash")) & F.col("row")[id_col].eqNullSafe(F.col("id")), "left")
     clean = F.aggregate(
-        "__pii_spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(
             s["start"] >= acc["at"],
@@ -202,16 +248,15 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         ).otherwise(F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    kept = {c: F.col(c) for c in docs.columns}
-    kept[text_col] = F.when(F.col("__pii_spans").isNull(), text).otherwise(clean).alias(text_col)
-    return joined.select(*kept.values())
+    text = F.when(F.col("spans").isNull(), text).otherwise(clean)
+    return joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark, sf_dir) -> DataFrame:
     """Base spans as counts and digest, and all spans; ``n_added`` counts the spans that the method adds."""
     found = find(table(spark, sf_dir, "documents"))
     of = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind)
-    every = F.concat(*[F.array_sort(F.concat(of("base", k), of("added", k))) for k in KINDS])
+    every = F.concat(*[F.array_sort(F.concat(of("base", k), of("added", k))) for k in ADDED])
     return found.select(
         F.col("id").alias("doc_id"),
         *[F.size(of("base", k)).cast("long").alias(f"n_{k}") for k in KINDS],

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quillon.llm.pii import find, op1_pii, redact
+from quillon.llm.pii import find, learn, op1_pii, redact
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -60,6 +60,58 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert clean[0] == "Some text here. Please call [phone] now, or write to [email] soon"
 
 
+def brute_learn(seen, confidence=0.8, support=5, share=0.5):
+    """Plain loops over occurrences (contexts, value, kind)."""
+    known = {(v, k) for _, v, k in seen if k}
+    kinds = {k for _, k in known}
+    every = {c for cs, _, _ in seen for c in cs}
+    while True:
+        good = set()
+        for c in every:
+            own = [v for cs, v, _ in seen if c in cs]
+            for k in kinds:
+                hit = [v for v in own if (v, k) in known]
+                if len(set(hit)) >= support and len(hit) >= confidence * len(own):
+                    good.add((c, k))
+        new = set()
+        for v in {v for _, v, _ in seen}:
+            own = [cs for cs, w, _ in seen if w == v]
+            for k in kinds:
+                if sum(any((c, k) in good for c in cs) for cs in own) >= share * len(own):
+                    new.add((v, k))
+        if new <= known:
+            return good
+        known |= new
+
+
+def test_learning_equals_plain_loops(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        seen = []
+        for _ in range(250):
+            v = rng.randint(0, 60)
+            kind = "phone" if v < 20 else "email" if v < 30 else None
+            near = v % 10 if rng.random() < 0.85 else rng.randint(0, 9)
+            seen.append((sorted({f"1 w{near}", f"+ a{rng.randint(0, 12)}", f"2 w{near} w{rng.randint(0, 2)}"}), f"v{v}", kind))
+        frame = spark.createDataFrame(seen, "contexts array<string>, value string, kind string")
+        found = {tuple(r) for r in learn(frame).collect()}
+        assert found == brute_learn(seen), seed
+        loose = {tuple(r) for r in learn(frame, 0.4, 2, 0.3).collect()}
+        assert loose == brute_learn(seen, 0.4, 2, 0.3) and loose
+
+
+def test_brackets_after_words_and_secrets(spark):
+    rows = [(k, f"w{k} x{k}. Call +1 (555) 200-{k:04d} at y{k}") for k in range(8)]
+    rows += [(100, "q. Call (555) 123-4567 at noon"), (101, "Lot 12345 once")]
+    rows += [(200 + k, f'a{k}b token = "{hashlib.sha1(str(k).encode()).hexdigest()}" c{k}d') for k in range(8)]
+    rows += [(300, 'TOKEN!! = "A1B2C3D4E5"!!'), (301, f"commit {hashlib.sha1(b'x').hexdigest()} is fine")]
+    got = {r["id"]: (dict(rows)[r["id"]], r["added"]) for r in find(frame(spark, rows)).collect()}
+    said = {k: [(s["kind"], t[s["start"] : s["end"]]) for s in a] for k, (t, a) in got.items()}
+    assert said[100] == [("phone", "(555) 123-4567")] and said[101] == [] and said[301] == []
+    assert said[300] == [("secret", "A1B2C3D4E5")]
+    assert all(said[200 + k] == [("secret", hashlib.sha1(str(k).encode()).hexdigest())] for k in range(8))
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, None), (2, ""), (2, "é a@b.co 😀 1.2.3.4"), (2, "é a@b.co 😀 1.2.3.4"), (None, "+1 (743) 555-3824!"), (3, "none")]
     docs = frame(spark, rows)
