@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in runs of about this many characters, so that the
 #: temporary arrays of a Python worker stay small whatever the batch size.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def reliable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a checkpoint in the shared folder.
 
-    The folder is that of ``spark.checkpoint.dir``; only where the session
+    The folder is that of ``spark.checkpoint.dir``; only where a local session
     names none (tests, local runs) a temporary one is set.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint(eager=True)
 
@@ -51,9 +53,20 @@ def blocks(frames: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS)
                 yield frame.iloc[a:b].reset_index(drop=True)
 
 
-def checked_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint a broadcast of df if its counted rows are within limit, else leave the join to Spark."""
-    return F.broadcast(df) if rows <= limit else df
+def first_rows(docs: DataFrame, own: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, all columns, whose id and text hash are in ``first``; one of those that are equal in both.
+
+    ``own``: (id, hash) of all rows; ``first``: distinct (id, hash).  The
+    caller's columns stay in one struct, so that no name can clash.
+    """
+    twice = own.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "n")
+    first = first.join(twice, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").select("id", "hash", F.coalesce("n", F.lit(1)).alias("n"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    kept = rows.join(first, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("hash")))
+    # equal rows are rare; only they are ranked
+    again = kept.where("n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("id", "hash").orderBy("n"))).where("rank = 1")
+    return kept.where("n = 1").select("row").unionAll(again.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 _BUILT: dict = {}

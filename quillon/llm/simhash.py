@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, reliable, table
+from quillon.llm.common import blocks, first_rows, reliable, table
 from quillon.llm.graph import components
 
 #: Rows of one key above which a forest is emitted and blocks are compared.
@@ -194,14 +194,8 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of several rows with that id the one of the smallest text hash stays, and
     of rows equal in both any one.  Null ids come after all others.
     """
-    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    first = _grouped(docs, id_col, text_col, width, distance).groupBy("first.id", "first.hash").agg(F.sum(F.when(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")), 1)).alias("n"))
-    first = first.select(F.col("id").alias("__of_id"), F.col("hash").alias("__of_hash"), F.col("n").alias("__of_n"))
-    joined = docs.withColumn("__of_own", own)
-    kept = joined.join(first, F.col(id_col).eqNullSafe(F.col("__of_id")) & (F.col("__of_own") == F.col("__of_hash")))
-    # equal rows are rare; only they are ranked
-    again = kept.where("__of_n > 1").withColumn("__of_rank", F.row_number().over(Window.partitionBy("__of_id", "__of_hash").orderBy("__of_n")))
-    return kept.where("__of_n = 1").select(docs.columns).unionAll(again.where("__of_rank = 1").select(docs.columns))
+    own = _grouped(docs, id_col, text_col, width, distance)
+    return first_rows(docs, own.select("id", "hash"), own.select("first.id", "first.hash").distinct(), id_col, text_col)
 
 
 def op10_simhash_near_dedup(spark, sf_dir) -> DataFrame:
