@@ -24,14 +24,19 @@ ORDERS = (1, 2, 3, 4)
 #: Most labels that a model may have; bounds the broadcast matrix.
 MAX_LABELS = 512
 SMOOTHING = 0.5
+#: Bytes of a text from which on it is counted in pieces of that size.
+LONG = 1 << 20
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def normalise(text: str) -> bytes:
-    """Letters in lower case between single spaces; empty if there are none."""
-    kept = _OTHER.sub(" ", text).strip().lower()
+    """Letters (Unicode categories L) in lower case between single spaces; empty if there are none."""
+    kept = _OTHER.sub(" ", text)
+    if not kept.replace(" ", "").isalpha():  # word characters that are no letters, such as fractions
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
+    kept = kept.strip().lower()
     return f" {kept} ".encode() if kept else b""
 
 
@@ -52,6 +57,17 @@ def hashed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(slots)) if rows else (np.empty(0, np.int32), np.empty(0, np.int32))
 
 
+def slot_counts(data: bytes, limit: int = LONG) -> np.ndarray:
+    """Counts of the slots of one text's n-grams, gathered over pieces of ``limit`` bytes."""
+    counts, reach = np.zeros(SLOTS, np.int64), max(ORDERS) - 1
+    for a in range(0, len(data), limit):
+        # grams that start in the piece: those of the piece and its overlap less those of the overlap alone
+        piece, overlap = data[a : a + limit + reach], data[a + limit : a + limit + reach]
+        counts += np.bincount(hashed_grams([piece])[1], minlength=SLOTS)
+        counts -= np.bincount(hashed_grams([overlap])[1], minlength=SLOTS)
+    return counts
+
+
 def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Labels in order, and log-probabilities of the slots with the log-prior as the last column.
 
@@ -62,8 +78,11 @@ def train(labelled: DataFrame, label_col: str = "lang", text_col: str = "text")
         sums: dict[str, np.ndarray] = {}
         for frame in blocks(frames, "text"):
             texts = [normalise(x) for x in frame["text"]]
-            rows, slots = hashed_grams(texts)
+            rows, slots = hashed_grams([t if len(t) <= LONG else b"" for t in texts])
             own = frame["label"].astype(str).to_numpy()
+            for k, text in enumerate(texts):
+                if len(text) > LONG:
+                    sums.setdefault(own[k], np.zeros(SLOTS + 1, np.int64))[:SLOTS] += slot_counts(text)
             labels, code = np.unique(own, return_inverse=True)
             flat = np.bincount(code[rows].astype(np.int64) * SLOTS + slots, minlength=len(labels) * SLOTS).reshape(-1, SLOTS)
             full = np.bincount(code[np.array([bool(t) for t in texts], bool)], minlength=len(labels))
@@ -96,10 +115,13 @@ def score(texts: list[str], labels: list[str], matrix: np.ndarray) -> tuple[list
     clean = [normalise(x) for x in texts]
     if not labels or not texts:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    rows, slots = hashed_grams(clean)
+    rows, slots = hashed_grams([t if len(t) <= LONG else b"" for t in clean])
     cells, n = np.unique(rows.astype(np.int64) * SLOTS + slots, return_counts=True)
     rows, slots = cells // SLOTS, cells % SLOTS
     logs = np.stack([np.bincount(rows, n * matrix[k, slots], len(texts)) + matrix[k, SLOTS] for k in range(len(labels))], axis=1)
+    for k, text in enumerate(clean):
+        if len(text) > LONG:
+            logs[k] += matrix[:, :SLOTS] @ slot_counts(text)
     best = logs.argmax(axis=1)
     posterior = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
     return [labels[b] if t else UNKNOWN for b, t in zip(best, clean)], [float(p) if t else 0.0 for p, t in zip(posterior, clean)]
