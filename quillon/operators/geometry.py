@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points above which all-pairs operators refuse to run.
-MAX_ALL_PAIRS = 200_000
 #: Points in a block of an all-pairs tile.
 BLOCK = 256
 
@@ -41,30 +39,71 @@ def lloyd_step(df: DataFrame, centres: DataFrame, id_col: str = "id", features:
     return centroids(assign(df, centres, id_col, features), "cluster", features)
 
 
-def pair_distances(df: DataFrame, id_col: str = "id", features: str = "features", limit: int = MAX_ALL_PAIRS) -> DataFrame:
-    """(i, j, d) over all ordered pairs of different points.
+def tiles(df: DataFrame, id_col: str = "id", features: str = "features", extra: tuple[str, ...] = (), half: bool = False) -> DataFrame:
+    """Pairs of blocks of about BLOCK points: (a, b) with ids, features ``f`` and the ``extra`` columns of each as arrays.
 
-    Points are held in blocks of about BLOCK; a pair of blocks is one tile,
-    measured at once in numpy, so a task holds two blocks however many points
-    there are.
+    A task holds two blocks however many points there are.  ``half``: each
+    unordered pair of blocks once, a block with itself included.
     """
-    if (n := df.count()) > limit:
-        raise ValueError(f"{n} points are too many for all pairs; limit {limit}")
-    kind = df.schema[id_col].dataType.simpleString()
-    held = df.select(F.pmod(F.hash(id_col), F.lit(max(1, -(-n // BLOCK)))).alias("block"), F.struct(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("f")).alias("p"))
-    held = held.groupBy("block").agg(F.collect_list("p.id").alias("ids"), F.collect_list("p.f").alias("fs"))
-    tiles = held.crossJoin(held.select(F.col("ids").alias("ids2"), F.col("fs").alias("fs2")))
+    n = df.count()
+    blocks = max(1, -(-n // BLOCK))
+    fields = F.struct(F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("f"), *[F.col(c).alias(c) for c in extra])
+    held = df.select(F.pmod(F.hash(id_col), F.lit(blocks)).alias("block"), fields.alias("p")).groupBy("block").agg(F.collect_list("p").alias("p"))
+    names = ("id", "f", *extra)
+    held = held.select("block", F.struct(*[F.col(f"p.{c}").alias(c) for c in names]).alias("own"))
+    # a block meets each other one by an equi-join on the number of the tile
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+    left = held.select(F.col("own").alias("a"), "block", F.explode(numbers).alias("other"))
+    left = left.where("other >= block") if half else left
+    return left.join(held.select(F.col("own").alias("b"), F.col("block").alias("other")), "other").select("a", "b", (F.col("block") == F.col("other")).alias("same")).repartition(F.xxhash64("a.id", "b.id"))
+
+
+def _block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) for row in a])
+
+
+def per_tile(tiled: DataFrame, work, schema: str) -> DataFrame:
+    """``work(a, b, d, same)`` of every tile: dicts of arrays of both blocks and their distances; gives a frame."""
 
-    def measure(frames):
+    def run(frames):
         for frame in frames:
-            for ids, fs, ids2, fs2 in zip(frame["ids"], frame["fs"], frame["ids2"], frame["fs2"]):
-                x, y = np.stack(fs), np.stack(fs2)
-                d = np.stack([np.sqrt(((row - y) ** 2).sum(axis=1)) for row in x])
-                i, j = np.repeat(np.asarray(ids), len(ids2)), np.tile(np.asarray(ids2), len(ids))
-                other = i != j
-                yield pd.DataFrame({"i": i[other], "j": j[other], "d": d.ravel()[other]})
+            for a, b, same in zip(frame["a"], frame["b"], frame["same"]):
+                x, y = ({k: np.stack(v) if k == "f" else np.asarray(v) for k, v in p.items()} for p in (a, b))
+                yield work(x, y, _block_distances(x["f"], y["f"]), bool(same))
+
+    return tiled.mapInPandas(run, schema)
+
+
+def pair_distances(df: DataFrame, id_col: str = "id", features: str = "features") -> DataFrame:
+    """(i, j, d) over all ordered pairs of different points; n (n - 1) rows by its meaning."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def work(a, b, d, same):
+        i, j = np.repeat(a["id"], len(b["id"])), np.tile(b["id"], len(a["id"]))
+        other = i != j
+        return pd.DataFrame({"i": i[other], "j": j[other], "d": d.ravel()[other]})
+
+    return per_tile(tiles(df, id_col, features), work, f"i {kind}, j {kind}, d double")
+
+
+def nearest(df: DataFrame, k: int, id_col: str = "id", features: str = "features") -> DataFrame:
+    """(i, j, d, rank) of the k nearest other points, ties by id.
+
+    Each tile keeps k rows a point, so what is shuffled grows with n * k for
+    each block and not with the pairs.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def work(a, b, d, same):
+        if same:
+            d = np.where(a["id"][:, None] == b["id"][None, :], np.inf, d)
+        by_id = np.argsort(b["id"], kind="stable")
+        best = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
+        found = np.take_along_axis(d, best, axis=1)
+        held = np.isfinite(found).ravel()
+        return pd.DataFrame({"i": np.repeat(a["id"], best.shape[1])[held], "j": b["id"][best].ravel()[held], "d": found.ravel()[held]})
 
-    return tiles.select("ids", "fs", "ids2", "fs2").repartition(F.xxhash64("ids", "ids2")).mapInPandas(measure, f"i {kind}, j {kind}, d double")
+    return neighbours(per_tile(tiles(df, id_col, features), work, f"i {kind}, j {kind}, d double"), k)
 
 
 def neighbours(pairs: DataFrame, k: int) -> DataFrame:
@@ -72,21 +111,74 @@ def neighbours(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
-def core_distances(pairs: DataFrame, min_points: int) -> DataFrame:
+def core_distances(df: DataFrame, min_points: int, id_col: str = "id", features: str = "features") -> DataFrame:
     """(i, core): distance to the min_points-th nearest point, the point itself counted."""
-    return neighbours(pairs, min_points - 1).groupBy("i").agg(F.max("d").alias("core"))
+    if min_points == 1:
+        return df.select(F.col(id_col).alias("i"), F.lit(0.0).alias("core"))
+    near = nearest(df, min_points - 1, id_col, features)
+    return near.groupBy("i").agg(F.max("d").alias("core"), F.count("*").alias("n")).where(F.col("n") == min_points - 1).select("i", "core")
 
 
-def reachability(pairs: DataFrame, min_points: int) -> DataFrame:
+def label_pair_sums(df: DataFrame, id_col: str = "id", features: str = "features", label: str = "label") -> DataFrame:
+    """(label, pairs, total, longest) over the pairs within each label; added up within the tiles."""
+    kind = df.schema[label].dataType.simpleString()
+    work_schema = f"label {kind}, pairs long, total double, longest double"
+
+    def work(a, b, d, same):
+        rows = []
+        for value in np.intersect1d(a[label], b[label]):
+            part = d[np.ix_(a[label] == value, b[label] == value)]
+            if same:
+                part = part[np.triu_indices(len(part), 1)]
+            if part.size:
+                rows.append((value, part.size, part.sum(), part.max()))
+        return pd.DataFrame(rows, columns=["label", "pairs", "total", "longest"])
+
+    sums = per_tile(tiles(df, id_col, features, (label,), half=True), work, work_schema)
+    return sums.groupBy("label").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.max("longest").alias("longest"))
+
+
+def mean_distance(df: DataFrame, id_col: str = "id", features: str = "features") -> float:
+    """Mean over all pairs of different points."""
+    row = label_pair_sums(df.withColumn("label", F.lit(0)), id_col, features).first()
+    return float(row["total"] / row["pairs"]) if row else 0.0
+
+
+def degrees(df: DataFrame, radius: float, id_col: str = "id", features: str = "features") -> DataFrame:
+    """(i, degree): other points within the radius; counted within the tiles."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def work(a, b, d, same):
+        return pd.DataFrame({"i": a["id"], "degree": (d <= radius).sum(axis=1) - (1 if same else 0)})
+
+    return per_tile(tiles(df, id_col, features), work, f"i {kind}, degree long").groupBy("i").agg(F.sum("degree").alias("degree"))
+
+
+def reachability(df: DataFrame, min_points: int, id_col: str = "id", features: str = "features") -> DataFrame:
     """(i, j, reach) for i < j: the distance, at least both core distances."""
-    core = core_distances(pairs, min_points)
-    both = pairs.where("i < j").join(core, "i").join(core.select(F.col("i").alias("j"), F.col("core").alias("core_j")), "j")
-    return both.select("i", "j", F.greatest("d", "core", "core_j").alias("reach"))
+    kind = df.schema[id_col].dataType.simpleString()
+    core = core_distances(df, min_points, id_col, features)
+    rows = df.select(F.col(id_col).alias("i"), F.col(features).alias("features")).join(core, "i")
 
+    def work(a, b, d, same):
+        d = np.maximum(d, np.maximum(a["core"][:, None], b["core"][None, :]))
+        i, j = np.repeat(a["id"], len(b["id"])), np.tile(b["id"], len(a["id"]))
+        first = i < j if same else i != j
+        return pd.DataFrame({"i": np.minimum(i, j)[first], "j": np.maximum(i, j)[first], "reach": d.ravel()[first]})
 
-def cvnn(pairs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """Clustering validation by nearest neighbours: (separation, compactness)."""
-    li, lj = labels.select(F.col("id").alias("i"), F.col("label").alias("li")), labels.select(F.col("id").alias("j"), F.col("label").alias("lj"))
-    foreign = neighbours(pairs, k).join(li, "i").join(lj, "j").groupBy("li").agg(F.avg(F.when(F.col("li") != F.col("lj"), 1.0).otherwise(0.0)).alias("s")).agg(F.max("s").alias("separation"))
-    inside = pairs.where("i < j").join(li, "i").join(lj, "j").where("li = lj").groupBy("li").agg(F.avg("d").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("compactness"))
+    return per_tile(tiles(rows, "i", "features", ("core",), half=True), work, f"i {kind}, j {kind}, reach double")
+
+
+def cvnn(df: DataFrame, k: int, id_col: str = "id", features: str = "features", label: str = "label") -> DataFrame:
+    """Clustering validation by nearest neighbours of one labeling: (separation, compactness)."""
+    li, lj = df.select(F.col(id_col).alias("i"), F.col(label).alias("li")), df.select(F.col(id_col).alias("j"), F.col(label).alias("lj"))
+    foreign = nearest(df, k, id_col, features).join(li, "i").join(lj, "j").groupBy("li").agg(F.avg(F.when(F.col("li") != F.col("lj"), 1.0).otherwise(0.0)).alias("s")).agg(F.max("s").alias("separation"))
+    inside = label_pair_sums(df, id_col, features, label).agg(F.coalesce(F.sum(F.col("total") / F.col("pairs")), F.lit(0.0)).alias("compactness"))
     return foreign.crossJoin(inside).select(F.round("separation", 6).alias("separation"), F.round("compactness", 6).alias("compactness"))
+
+
+def cvnn_scores(df: DataFrame, labels: list[str], k: int, id_col: str = "id", features: str = "features") -> list[float]:
+    """CVNN of several labelings (columns of df): both terms over their largest, added; a largest of 0 gives 0 for its term."""
+    found = np.array([[float(x) for x in cvnn(df, k, id_col, features, c).first()] for c in labels])
+    most = found.max(axis=0)
+    return (found / np.where(most > 0, most, 1)).sum(axis=1).tolist()

@@ -180,18 +180,21 @@ def mdl_spherical_by_label(spark, sf_dir):
 
 @query(f"WITH {_PAIRS} SELECT i, j, rk::INT AS rank, round(d, 6) AS d FROM k WHERE rk <= 5")
 def knn_embeddings(spark, sf_dir):
-    found = geo.neighbours(geo.pair_distances(_points(spark, sf_dir)), 5)
+    found = geo.nearest(_points(spark, sf_dir), 5)
     return found.select("i", "j", F.col("rank").cast("int").alias("rank"), _r(F.col("d"), "d"))
 
 
 @query(f"WITH {_PAIRS} SELECT i, round(max(d), 6) AS core FROM k WHERE rk <= 4 GROUP BY i")
 def core_distance(spark, sf_dir):
-    return geo.core_distances(geo.pair_distances(_points(spark, sf_dir)), 5).select("i", _r(F.col("core"), "core"))
+    return geo.core_distances(_points(spark, sf_dir), 5).select("i", _r(F.col("core"), "core"))
 
 
-@query(f"WITH {_PAIRS}, c AS (SELECT i, max(d) AS core FROM k WHERE rk <= 4 GROUP BY i) SELECT q.i, q.j, round(greatest(d, a.core, b.core), 6) AS reach FROM q JOIN c a ON a.i = q.i JOIN c b ON b.i = q.j WHERE q.i < q.j")
+_PAIRS_ONCE = _PAIRS.replace(", q AS (", ", q AS MATERIALIZED (").replace(", k AS (", ", k AS MATERIALIZED (")
+
+
+@query(f"WITH {_PAIRS_ONCE}, c AS MATERIALIZED (SELECT i, max(d) AS core FROM k WHERE rk <= 4 GROUP BY i) SELECT q.i, q.j, round(greatest(d, a.core, b.core), 6) AS reach FROM q JOIN c a ON a.i = q.i JOIN c b ON b.i = q.j WHERE q.i < q.j")
 def reachability_pairs(spark, sf_dir):
-    return geo.reachability(geo.pair_distances(_points(spark, sf_dir)), 5).select("i", "j", _r(F.col("reach"), "reach"))
+    return geo.reachability(_points(spark, sf_dir), 5).select("i", "j", _r(F.col("reach"), "reach"))
 
 
 @query(
@@ -199,23 +202,18 @@ def reachability_pairs(spark, sf_dir):
     "SELECT round((SELECT max(s) FROM s), 6) AS separation, round((SELECT sum(c) FROM c), 6) AS compactness"
 )
 def cvnn_embeddings(spark, sf_dir):
-    points = _points(spark, sf_dir)
-    return geo.cvnn(geo.pair_distances(points), points.select("id", "label"), 5)
+    return geo.cvnn(_points(spark, sf_dir), 5)
 
 
 @query(f"WITH {_PAIRS} SELECT li AS label, round(max(d), 6) AS diameter FROM q WHERE i < j AND li = lj GROUP BY li")
 def cluster_diameter(spark, sf_dir):
-    points = _points(spark, sf_dir)
-    labels = points.select("id", "label")
-    pairs = geo.pair_distances(points).where("i < j").join(labels.withColumnRenamed("id", "i"), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
-    return pairs.where("label = lj").groupBy("label").agg(_r(F.max("d"), "diameter"))
+    return geo.label_pair_sums(_points(spark, sf_dir)).select("label", _r(F.col("longest"), "diameter"))
 
 
-@query(f"WITH {_PAIRS}, m AS (SELECT 0.5*avg(d) AS r FROM q WHERE i < j) SELECT i, count(*) FILTER (d <= r) AS degree FROM q, m GROUP BY i")
+@query(f"WITH {_PAIRS_ONCE}, m AS (SELECT 0.5*avg(d) AS r FROM q WHERE i < j) SELECT i, count(*) FILTER (d <= r) AS degree FROM q, m GROUP BY i")
 def radius_degree(spark, sf_dir):
-    pairs = geo.pair_distances(_points(spark, sf_dir))
-    radius = pairs.where("i < j").agg((0.5 * F.avg("d")).alias("r"))
-    return pairs.crossJoin(F.broadcast(radius)).groupBy("i").agg(F.count(F.when(F.col("d") <= F.col("r"), 1)).alias("degree"))
+    points = _points(spark, sf_dir)
+    return geo.degrees(points, 0.5 * geo.mean_distance(points))
 
 
 @query(f"WITH {_CENTRES}, d AS (SELECT p.id, c.label AS k, 1/(1 + list_sum(list_transform(list_zip(p.f, c.c), lambda e: (e[1] - e[2]) ** 2))) AS q FROM p, c) SELECT id, k AS cluster, round(q / sum(q) OVER (PARTITION BY id), 6) AS q FROM d")
