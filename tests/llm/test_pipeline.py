@@ -3,7 +3,7 @@ import re
 import corpus_pipeline
 from quillon.llm.decontaminate import contaminated_pairs
 from quillon.llm.pii import find
-from quillon.llm.simhash import simhash_groups
+from tests.llm.test_jaccard import brute
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -16,8 +16,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(set(s.columns) == set(docs.columns) for s in seen[:5])
     sizes = [s.count() for s in seen]
     assert sizes[0] > sizes[1] > sizes[2] > sizes[3] == sizes[4]
-    groups = simhash_groups(seen[1]).collect()
-    assert sizes[2] == len({r["component_id"] for r in groups}) == simhash_groups(seen[2]).select("component_id").distinct().count()
+    assert sorted(r["doc_id"] for r in seen[2].select("doc_id").collect()) == brute([(r["doc_id"], r["text"] or "") for r in seen[1].collect()])
     tests = spark.read.parquet(f"{d}/benchmark.parquet")
     hit = {r["doc_id"] for r in contaminated_pairs(seen[2], tests).collect()}
     before, after = ({r["doc_id"]: r["text"] for r in s.collect()} for s in seen[2:4])
@@ -30,6 +29,22 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in seen[5].collect()} == set(clean)
 
 
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Null texts and ids, empty and repeated rows, an empty table, and clashing names through all stages."""
+    d = "/root/testdata/sf0.001"
+    words = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'").select("text").limit(40).collect()
+    rows = [(k, r["text"]) for k, r in enumerate(words)] + [(None, words[0]["text"] + " and more"), (50, None), (51, ""), (0, words[0]["text"]), (0, words[0]["text"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as lang", "'s' as source", "1L as n_chars", "1 as row", "2 as hash", "3 as salt", "4 as length", "5 as id", "6 as n", "7 as spans")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for name in ("some", "none"):
+            own = docs if not k and name == "some" else docs.limit(0) if not k else spark.read.parquet(f"{tmp_path}/{name}{k - 1}")
+            out = stage(spark, own, d)
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            n = spark.read.parquet(f"{tmp_path}/{name}{k}").count()
+            assert n > 20 if name == "some" else n == 0
+
+
 def test_run_gives_the_packed_pieces(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
