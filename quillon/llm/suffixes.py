@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shuffle_partitions, table
+from quillon.llm.common import reliable, shuffle_partitions, table
 
 LENGTH, GRAM = 200, 50
 #: Bytes of text whose anchors are sought at once, and of entries in one run.
@@ -271,11 +271,29 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         for frame in frames:
             k1, k2 = frame["k1"].to_numpy(), frame["k2"].to_numpy()
             for rows, _, h, _, _ in found_anchors(_bytes(frame["text"]), length, gram):
-                yield pd.DataFrame({"h": h.view(np.int64), "k1": k1[rows], "k2": k2[rows]})
-
-    twice = keyed.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    marked = keyed.mapInPandas(mark, "h long, k1 long, k2 long").join(twice, "h", "left_semi")
-    lists = marked.groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
+                order = np.lexsort((h, rows))
+                rows, h = rows[order], h[order]
+                new = np.concatenate(([True], (np.diff(rows) != 0) | (h[1:] != h[:-1]))) if len(h) else np.empty(0, bool)
+                rows, h = rows[new], h[new]
+                known = common_grams.value
+                held = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                if not held.all():
+                    yield pd.DataFrame({"h": h[~held].view(np.int64), "k1": k1[rows[~held]], "k2": k2[rows[~held]], "hs": pd.Series([None] * int((~held).sum()), dtype=object)})
+                if held.any():  # a document's common grams are one row
+                    own, first = np.unique(rows[held], return_index=True)
+                    lists = [x.tolist() for x in np.split(h[held].view(np.int64), first[1:])]
+                    yield pd.DataFrame({"h": 0, "k1": k1[own], "k2": k2[own], "hs": pd.Series(lists, dtype=object)})
+
+    twice = reliable(keyed.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    # a gram with more than this share of all anchors would fill a task of the join; there are 4 a partition at most, so they are broadcast
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot = total // (4 * shuffle_partitions(keyed.sparkSession))
+    found = np.array([r[0] for r in twice.where(F.col("n") > hot).select("h").collect()], np.int64)
+    common_grams = keyed.sparkSession.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+    marks = keyed.mapInPandas(mark, "h long, k1 long, k2 long, hs array<long>")
+    rest = marks.where("hs is null").select("h", "k1", "k2").join(twice.where(F.col("n") <= hot).select("h"), "h", "left_semi")
+    marked = rest.select("k1", "k2", F.array("h").alias("hs")).unionAll(marks.where("hs is not null").select("k1", "k2", "hs"))
+    lists = marked.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"))
     chosen = keyed.join(lists, ["k1", "k2"])
 
     def sort(frames):
