@@ -151,7 +151,7 @@ def with_next(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_c
 
     dealt = (
         rows.select("id", "text", "at", F.posexplode(places("at")).alias("guard", "part"))
-        .repartition(F.col("part"))
+        .repartitionById(max(1, len(tops)), F.col("part"))
         .sortWithinPartitions("part", F.col("guard") * F.lit(1), F.col("at").desc(), "text")
     )
 
