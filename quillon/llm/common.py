@@ -53,6 +53,25 @@ def blocks(frames: Iterator[pd.DataFrame], text: str, limit: int = BLOCK_CHARS)
                 yield frame.iloc[a:b].reset_index(drop=True)
 
 
+def whole_keys(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Batches of a sorted table recut so that no run of equal keys is split; each row is copied once."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys = frame[key].to_numpy()
+        if held and keys[-1] == held[0][key].iat[-1]:
+            held.append(frame)
+            continue
+        cut = int(np.searchsorted(keys, keys[-1]))
+        now = pd.concat([*held, frame.iloc[:cut]], ignore_index=True)
+        if len(now):
+            yield now
+        held = [frame.iloc[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def first_rows(docs: DataFrame, own: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs, all columns, whose id and text hash are in ``first``; one of those that are equal in both.
 

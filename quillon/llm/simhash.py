@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import blocks, first_rows, reliable, table
+from quillon.llm.common import blocks, first_rows, reliable, table, whole_keys
 from quillon.llm.graph import components
 
 #: Rows of one key above which a forest is emitted and blocks are compared.
@@ -142,16 +142,8 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     dealt = rows.repartition("key").sortWithinPartitions("key", "probing")
 
     def scan(frames):
-        rest = None
-        for frame in frames:
-            now = pd.concat([rest, frame], ignore_index=True) if rest is not None else frame
-            keys = now["key"].to_numpy()
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            rest = now.iloc[last:]
-            if last:
-                yield links_of(now.iloc[:last])
-        if rest is not None and len(rest):
-            yield links_of(rest)
+        for frame in whole_keys(frames, "key"):
+            yield links_of(frame)
 
     def links_of(now):
         keys = now["key"].to_numpy()
@@ -170,7 +162,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, distance:
     joined = least.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
     reach = joined.groupBy("component").agg(F.min("least").alias("reach"))
     better = joined.join(reach, "component").select("fp", "reach")
-    merged = least.join(better, "fp", "left").select("fp", F.coalesce("reach", "least").alias("first"))
+    # checkpointed, so that both sides are dealt anew and the rows of a large group of copies can be split among tasks
+    merged = reliable(least.join(better, "fp", "left").select("fp", F.coalesce("reach", "least").alias("first")))
     return own.join(merged, "fp")
 
 
