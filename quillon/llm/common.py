@@ -72,20 +72,55 @@ def whole_keys(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFram
         yield pd.concat(held, ignore_index=True)
 
 
+#: Bits of a mask of hashes.
+SLOTS = 1 << 26
+
+
+def slot_mask(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits at the hashes of a column modulo SLOTS; what has no bit is not among them.  Of one size, whatever the number of rows."""
+    slot = F.pmod(column, F.lit(SLOTS)) + 1
+    rows = rows.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for row in rows.collect():  # SLOTS / 32768 rows
+        out[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_slots(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each signed 64-bit value has its bit in the mask."""
+    slot = values % SLOTS
+    return (mask[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def first_rows(docs: DataFrame, own: DataFrame, first: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs, all columns, whose id and text hash are in ``first``; one of those that are equal in both.
 
-    ``own``: (id, hash) of all rows; ``first``: distinct (id, hash).  The
-    caller's columns stay in one struct, so that no name can clash.
+    ``own``: (id, hash) of all rows; ``first``: distinct (id, hash).  A mask of
+    the rows that may go leaves most of the table as it is; only rows with its
+    bit are joined.  The caller's columns stay in one struct, so that no name
+    can clash.
     """
-    twice = own.groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "n")
-    first = first.join(twice, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").select("id", "hash", F.coalesce("n", F.lit(1)).alias("n"))
+    key = F.xxhash64("id", "hash")
+    counts = own.groupBy("id", "hash").agg(F.count("*").alias("n"))
+    known = first.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"))
+    both = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
+    doubtful = counts.join(known, both, "left").where("n > 1 or of_hash is null").select("id", "hash", "n", F.col("of_hash").isNotNull().alias("stays"))
+    doubtful = reliable(doubtful)
+    mask = share(docs.sparkSession, slot_mask(doubtful.select(key.alias("key")), "key"))
+
+    @F.pandas_udf("boolean")
+    def marked(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_slots(mask.value[1], keys.to_numpy(np.int64)))
+
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.coalesce(F.col("row")[text_col], F.lit(""))
-    kept = rows.join(first, F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("hash")))
+    text_hash = F.xxhash64(F.coalesce(F.col("row")[text_col], F.lit("")))
+    rows = rows.withColumn("marked", marked(F.xxhash64(F.col("row")[id_col], text_hash)))
+    of = doubtful.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "n", "stays")
+    joined = rows.where("marked").join(of, F.col("row")[id_col].eqNullSafe(F.col("of_id")) & (text_hash == F.col("of_hash")), "left")
+    single = joined.where("of_hash is null or (stays and n = 1)").select("row")
     # equal rows are rare; only they are ranked
-    again = kept.where("n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("id", "hash").orderBy("n"))).where("rank = 1")
-    return kept.where("n = 1").select("row").unionAll(again.select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    again = joined.where("stays and n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("of_id", "of_hash").orderBy("n"))).where("rank = 1").select("row")
+    return rows.where("not marked").select("row").unionAll(single).unionAll(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 _BUILT: dict = {}
