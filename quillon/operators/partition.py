@@ -142,32 +142,94 @@ def bic(n: np.ndarray, sse: float, d: int) -> float:
     return float(likelihood.sum() - k * (d + 1) * 0.5 * math.log(total))
 
 
-def _grow(points: DataFrame, start: Model, max_k: int, verdict) -> Model:
-    """Split clusters while ``verdict(children, n, sse, parent_sse)`` marks any, the most populous first up to max_k."""
-    model = start
-    while model.k < max_k:
+def _grow(points: DataFrame, start: Model, max_k: int | None, verdict, score=None) -> Model:
+    """Split clusters while ``verdict(children, n, sse, parent_sse)`` marks any, the most populous first up to max_k.
+
+    ``score(model)``: where given, the model of the highest score over all rounds is kept.
+    """
+    model = best = start
+    top = score(start) if score else 0.0
+    while max_k is None or model.k < max_k:
         children, n, sse, parent = _split_all(points, model.centres)
         marked = verdict(model.centres, children, n, sse, parent) & (n.min(1) > 0)
-        order = [c for c in np.argsort(-n.sum(1), kind="stable") if marked[c]][: max_k - model.k]
+        order = [c for c in np.argsort(-n.sum(1), kind="stable") if marked[c]][: None if max_k is None else max_k - model.k]
         if not order:
             break
         kept = [model.centres[c] for c in range(model.k) if c not in set(order)]
         model = lloyd(points, np.array(kept + [x for c in order for x in children[c]]))
-    return model
+        if score and (now := score(model)) > top:
+            best, top = model, now
+    return best if score else model
+
 
+def global_bic(points: DataFrame, model: Model) -> float:
+    """Schwarz criterion of all clusters of a model; one pass."""
+    n, r, q = (m[:, 0] for m in _moments(points, model.centres))
+    held = n > 0
+    sse = float((q.sum(1) - (r**2).sum(1) / np.maximum(n, 1)).sum())
+    return bic(n[held], sse, model.centres.shape[1])
 
-def xmeans(points: DataFrame, k: int = 2, max_k: int = 64, seed: int = 0) -> Model:
+
+def merge_by_bic(points: DataFrame, model: Model) -> Model:
+    """Clusters merged with the partner whose union raises the criterion most, small ones first, each at most once.
+
+    Sums of a union follow from those of its parts, so one pass serves all pairs.
+    """
+    n, r, q = (m[:, 0] for m in _moments(points, model.centres))
+    d = model.centres.shape[1]
+    means = model.centres + r / np.maximum(n, 1)[:, None]
+    sse = q.sum(1) - (r**2).sum(1) / np.maximum(n, 1)
+    free, out = {c for c in range(model.k) if n[c] > 0}, []
+    for a in sorted(free, key=lambda c: (n[c], c)):
+        if a not in free:
+            continue
+        free.discard(a)
+        gains = []
+        for b in free:
+            apart = bic(np.array([n[a], n[b]]), sse[a] + sse[b], d)
+            joint = sse[a] + sse[b] + n[a] * n[b] / (n[a] + n[b]) * float(((means[a] - means[b]) ** 2).sum())
+            gains.append((bic(np.array([n[a] + n[b]]), joint, d) - apart, -b))
+        gain, b = max(gains, default=(-math.inf, 0))
+        if gain > 0:
+            free.discard(-b)
+            out.append((n[a] * means[a] + n[-b] * means[-b]) / (n[a] + n[-b]))
+        else:
+            out.append(means[a])
+    return lloyd(points, np.array(out)) if len(out) < model.k else model
+
+
+def xmeans(points: DataFrame, k: int = 2, max_k: int | None = None, seed: int = 0, check_global_score: bool = True, allow_merging: bool = False) -> Model:
     """k-means whose clusters are split while the Schwarz criterion of two children beats that of the parent.
 
-    Halving a cluster that is even in two dimensions just balances the
-    criterion, so a square grid of blobs needs k of 2 or more to start.
+    ``check_global_score``: of the models of all rounds the one with the highest
+    criterion over all clusters is kept.  ``allow_merging``: pairs whose union
+    raises the criterion are merged in the end.  Halving a cluster that is even
+    in two dimensions just balances the criterion, so a square grid of blobs
+    needs k of 2 or more to start.
     """
 
     def verdict(centres, children, n, sse, parent):
         d = centres.shape[1]
         return np.array([n[c].min() > 0 and bic(n[c].sum(keepdims=True), parent[c], d) < bic(n[c], sse[c].sum(), d) for c in range(len(centres))])
 
-    return _grow(points, kmeans(points, k, seed), max_k, verdict)
+    model = _grow(points, kmeans(points, k, seed), max_k, verdict, (lambda m: global_bic(points, m)) if check_global_score else None)
+    return merge_by_bic(points, model) if allow_merging else model
+
+
+def log_normal_cdf(z: np.ndarray) -> np.ndarray:
+    """log of the normal distribution function, by the continued fraction of its tail beyond 5 and a table of its integral inside."""
+    grid = np.linspace(-5, 5, 20_001)
+    density = np.exp(-(grid**2) / 2) / math.sqrt(2 * math.pi)
+    # Simpson's rule over cells of two steps, and their middles by symmetry of the error
+    cells = np.concatenate(([0.0], np.cumsum((density[:-1] + density[1:]) / 2 * np.diff(grid) - np.diff(grid) ** 3 / 12 * ((grid[:-1] + grid[1:]) ** 2 / 4 - 1) * (density[:-1] + density[1:]) / 2)))
+    inner = cells + 0.5 * math.erfc(5 / math.sqrt(2))
+    x = np.maximum(np.abs(z), 5.0)
+    fraction = x
+    for k in range(40, 0, -1):
+        fraction = x + k / fraction
+    tail = -(x**2) / 2 - 0.5 * math.log(2 * math.pi) - np.log(fraction)  # log P(Z > x)
+    middle = np.log(np.interp(np.clip(z, -5, 5), grid, inner))
+    return np.where(z < -5, tail, np.where(z > 5, -np.exp(tail), middle))
 
 
 def anderson_darling(values: DataFrame) -> DataFrame:
@@ -179,7 +241,7 @@ def anderson_darling(values: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def log_cdf(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.log(max(math.erfc(-v / math.sqrt(2)) / 2, 1e-300)))
+        return pd.Series(log_normal_cdf(z.to_numpy(float)))
 
     moments = values.groupBy("group").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
     z = values.join(F.broadcast(moments), "group").where("s > 0").withColumn("z", (F.col("x") - F.col("m")) / F.col("s"))
@@ -195,7 +257,10 @@ def anderson_darling(values: DataFrame) -> DataFrame:
 
 
 def anderson_p_value(a2: float) -> float:
-    """Published approximation (D'Agostino and Stephens, 1986) in four branches; 0 where its last parabola turns up again."""
+    """Published approximation (D'Agostino and Stephens, 1986) in four branches; 0 where its last parabola turns up again.
+
+    Its coefficients are fixed values; the last branch has the published sign of the square term.
+    """
     if a2 > 153:
         return 0.0
     if a2 >= 0.6:
@@ -207,7 +272,7 @@ def anderson_p_value(a2: float) -> float:
     return 1 - math.exp(-13.436 + 101.14 * a2 - 223.73 * a2 * a2)
 
 
-def gmeans(points: DataFrame, k: int = 1, max_k: int = 64, significance: float = 0.0001, seed: int = 0) -> Model:
+def gmeans(points: DataFrame, k: int = 1, max_k: int | None = None, significance: float = 0.0001, seed: int = 0) -> Model:
     """k-means whose clusters are split while their points, on the line through two children, are not normal."""
 
     def verdict(centres, children, n, sse, parent):

@@ -387,11 +387,11 @@ def tfidf_smooth_l2(spark, sf_dir):
 @query()
 def xmeans_embeddings(spark, sf_dir):
     points = _points(spark, sf_dir)
-    return partition.xmeans(points, 2, 16).predict(points).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+    return partition.xmeans(points, 2).predict(points).groupBy("label", "cluster").agg(F.count("*").alias("n"))
 
 
 @query()
 def gmeans_lineitem(spark, sf_dir):
     columns = ("l_quantity", "l_discount", "l_tax")
     items = _table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
-    return partition.gmeans(items, 1, 8).predict(items).groupBy("cluster").agg(F.count("*").alias("n"))
+    return partition.gmeans(items, 1).predict(items).groupBy("cluster").agg(F.count("*").alias("n"))
