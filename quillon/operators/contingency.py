@@ -7,8 +7,11 @@ it and its margins, so the points themselves are shuffled never.
 
 from __future__ import annotations
 
+import itertools
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,9 +38,15 @@ def purity(cells: DataFrame) -> DataFrame:
     return best.agg(_double(F.sum("best") / F.sum("size"), "purity"))
 
 
+def _pairs(n):
+    """n (n - 1) / 2 as an exact integer of 38 digits."""
+    wide = n.cast("decimal(19,0)")
+    return (wide * (wide - F.lit(1).cast("decimal(19,0)")) / F.lit(2).cast("decimal(1,0)")).cast("decimal(38,0)")
+
+
 def pair_counts(cells: DataFrame) -> DataFrame:
-    """Pairs of points together in both, one or neither of the labelings, in closed form."""
-    two = lambda x: F.sum(x * (x - 1) / 2)
+    """Pairs of points together in both, one or neither of the labelings, in closed form and in exact integers."""
+    two = lambda x: F.sum(_pairs(x))
     both = cells.agg(two(F.col("n")).alias("tp"), F.sum("n").alias("m"))
     rows = cells.groupBy("true").agg(F.sum("n").alias("n")).agg(two(F.col("n")).alias("in_true"))
     columns = cells.groupBy("pred").agg(F.sum("n").alias("n")).agg(two(F.col("n")).alias("in_pred"))
@@ -46,7 +55,7 @@ def pair_counts(cells: DataFrame) -> DataFrame:
         F.col("tp").cast("long").alias("tp"),
         (F.col("in_pred") - F.col("tp")).cast("long").alias("fp"),
         (F.col("in_true") - F.col("tp")).cast("long").alias("fn"),
-        (F.col("m") * (F.col("m") - 1) / 2 - F.col("in_true") - F.col("in_pred") + F.col("tp")).cast("long").alias("tn"),
+        (_pairs(F.col("m")) - F.col("in_true") - F.col("in_pred") + F.col("tp")).cast("long").alias("tn"),
     )
 
 
@@ -126,25 +135,108 @@ def clustering_accuracy(cells: DataFrame, limit: int = 4000) -> float:
     """
     if max(cells.select("true").distinct().limit(limit + 1).count(), cells.select("pred").distinct().limit(limit + 1).count()) > limit:
         raise ValueError(f"more than {limit} labels")
+    gain = confusion_matrix(cells).matrix
+    found = best_assignment(gain)
+    return float(sum(gain[i, j] for i, j in enumerate(found) if j < gain.shape[1]) / gain.sum())
+
+
+@dataclass(frozen=True)
+class ConfusionMatrix:
+    """Counts of each (true, predicted) label; labels are sorted, missing ones of a square matrix are ``PAD``."""
+
+    true: tuple
+    pred: tuple
+    matrix: np.ndarray
+
+    def rearranged(self) -> ConfusionMatrix:
+        """Columns ordered so that the diagonal sum is largest, the rest by their largest entry; padded where there are fewer."""
+        matrix, order = rearrange(self.matrix)
+        pred = [*self.pred, *[PAD] * (max(self.matrix.shape) - len(self.pred))]
+        return ConfusionMatrix(self.true, tuple(pred[k] for k in order), matrix)
+
+    def square(self) -> ConfusionMatrix:
+        size = max(self.matrix.shape)
+        out = np.zeros((size, size), self.matrix.dtype)
+        out[: len(self.true), : len(self.pred)] = self.matrix
+        pad = lambda x: (*x, *[PAD] * (size - len(x)))
+        return ConfusionMatrix(pad(self.true), pad(self.pred), out)
+
+    def table(self, spark) -> DataFrame:
+        """(row, column, true, pred, n) for a plot."""
+        rows = [(i, j, str(t), str(p), int(self.matrix[i, j])) for i, t in enumerate(self.true) for j, p in enumerate(self.pred)]
+        return spark.createDataFrame(rows, "row int, column int, true string, pred string, n long")
+
+
+#: Fixed value: label of padding.
+PAD = -2
+
+
+def confusion_matrix(cells: DataFrame) -> ConfusionMatrix:
+    """Of a contingency table; its grid of labels is gathered."""
     rows = cells.collect()
-    true, pred = (sorted({r[c] for r in rows}, key=str) for c in ("true", "pred"))
-    gain = np.zeros((len(true), len(pred)))
+    true, pred = (sorted({r[c] for r in rows}, key=lambda x: (x is None, str(type(x)), x)) for c in ("true", "pred"))
+    at_true, at_pred = ({x: k for k, x in enumerate(names)} for names in (true, pred))
+    matrix = np.zeros((len(true), len(pred)), np.int64)
     for r in rows:
-        gain[true.index(r["true"]), pred.index(r["pred"])] = r["n"]
-    found = best_assignment(gain)
-    return float(sum(gain[i, j] for i, j in enumerate(found) if j < len(pred)) / gain.sum())
+        matrix[at_true[r["true"]], at_pred[r["pred"]]] = r["n"]
+    return ConfusionMatrix(tuple(true), tuple(pred), matrix)
+
+
+def rearrange(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix with its columns in the order of the best one-to-one match, zeros where columns are missing, and that order."""
+    n, m = matrix.shape
+    size = max(n, m)
+    wide = np.zeros((n, size), matrix.dtype)
+    wide[:, :m] = matrix
+    matched = best_assignment(wide)
+    rest = [k for k in range(size) if k not in set(matched.tolist())]
+    rest.sort(key=lambda k: (wide[:, k].max(initial=0), k), reverse=True)
+    order = np.array([*matched.tolist(), *rest])
+    return wide[:, order], order
 
 
-def multi_labeling_pair_counts(df: DataFrame, true: list[str], pred: list[str]) -> DataFrame:
+#: Label columns up to which pairs are counted from all their subsets.
+MOST_COLUMNS = 16
+
+
+def multi_labeling_pair_counts(df: DataFrame, true: list[str], pred: list[str], remove_noise_spaces: bool = False) -> DataFrame:
     """Pair counts where two points are together if any of the label columns agrees.
 
-    Points with equal labels in all columns are merged first; only these
-    distinct label tuples are paired.
+    Pairs that agree in any column follow, by inclusion and exclusion, from the
+    pairs that agree in all columns of each subset, which are counted from
+    group sizes: one aggregation with grouping sets, and no pairs of rows.
+    ``remove_noise_spaces``: columns of one label are left out first.
     """
-    tuples = df.groupBy(*{*true, *pred}).agg(F.count("*").alias("n"))
-    tuples = tuples.withColumn("k", F.row_number().over(Window.orderBy(*{*true, *pred})))
-    x, y = tuples.alias("x"), tuples.alias("y")
-    same = lambda cols: F.coalesce(*[F.when(F.col(f"x.{c}") == F.col(f"y.{c}"), True) for c in cols], F.lit(False))
-    pairs = x.join(y, F.col("x.k") <= F.col("y.k")).select(same(true).alias("t"), same(pred).alias("p"), F.when(F.col("x.k") == F.col("y.k"), F.col("x.n") * (F.col("x.n") - 1) / 2).otherwise(F.col("x.n") * F.col("y.n")).alias("w"))
-    count = lambda t, p, name: F.coalesce(F.sum(F.when((F.col("t") == t) & (F.col("p") == p), F.col("w"))), F.lit(0)).cast("long").alias(name)
-    return pairs.agg(count(True, True, "tp"), count(False, True, "fp"), count(True, False, "fn"), count(False, False, "tn"))
+    if remove_noise_spaces:
+        several = df.agg(*[F.count_distinct(c).alias(f"c{k}") for k, c in enumerate([*true, *pred])]).first()
+        kept = [c for k, c in enumerate([*true, *pred]) if several[k] != 1]
+        true, pred = [c for c in true if c in kept], [c for c in pred if c in kept]
+    names = [f"l{k}" for k in range(len(true) + len(pred))]
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} label columns")
+    tuples = df.groupBy(*[F.col(c).alias(n) for c, n in zip([*true, *pred], names)]).agg(F.count("*").alias("n"))
+    spark, a, b = df.sparkSession, len(true), len(pred)
+    # rows with a null label never agree in that column
+    masks = spark.createDataFrame([(sum(1 << k for k in x),) for r in range(a + b + 1) for x in itertools.combinations(range(a + b), r)], "mask long")
+    held = [F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) > 0, F.struct(F.col(n))) for k, n in enumerate(names)]
+    whole = F.lit(True)
+    for k, n in enumerate(names):
+        whole = whole & ((F.col("mask").bitwiseAND(F.lit(1 << k)) == 0) | F.col(n).isNotNull())
+    groups = tuples.crossJoin(F.broadcast(masks)).where(whole).groupBy("mask", *[h.alias(f"g{k}") for k, h in enumerate(held)]).agg(F.sum("n").alias("n"))
+    sums = groups.groupBy("mask").agg(F.sum(_pairs(F.col("n"))).alias("pairs"))
+    low, high = F.col("mask").bitwiseAND(F.lit((1 << a) - 1)), F.shiftright("mask", a)
+    sign = lambda part: F.when(F.bit_count(part) % 2 == 1, 1).otherwise(-1)
+    some = lambda want, value: F.coalesce(F.sum(F.when(want, value * F.col("pairs"))), F.lit(0).cast("decimal(38,0)"))
+    one = sums.agg(
+        some((low > 0) & (high > 0), sign(low) * sign(high)).alias("both"),
+        some((low > 0) & (high == 0), sign(low)).alias("t"),
+        some((low == 0) & (high > 0), sign(high)).alias("p"),
+        some(F.col("mask") == 0, F.lit(1)).alias("every"),
+    )
+    of = lambda value, name: value.cast("long").alias(name)
+    return one.select(of(F.col("both"), "tp"), of(F.col("p") - F.col("both"), "fp"), of(F.col("t") - F.col("both"), "fn"), of(F.col("every") - F.col("t") - F.col("p") + F.col("both"), "tn"))
+
+
+def multi_labeling_pair_scores(df: DataFrame, true: list[str], pred: list[str], remove_noise_spaces: bool = True) -> DataFrame:
+    """Jaccard, Rand, precision, recall and F1 of two sets of labelings."""
+    return pair_scores(multi_labeling_pair_counts(df, true, pred, remove_noise_spaces))
