@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quillon.llm.chunks import op2_document_fingerprints
 from quillon.llm.decontaminate import op3_decontamination
 from quillon.llm.language import op6_language_id
 from quillon.llm.packing import op4_best_fit_packing
-from quillon.llm.pii import op1_pii
+from quillon.llm.common import table
+from quillon.llm.pii import KINDS, base_spans, op1_pii
 from quillon.llm.quality import op8_quality_classifier
 from quillon.llm.simhash import op10_simhash_near_dedup
 from quillon.llm.suffixes import op5_suffix_dedup
 from quillon.llm.tokens import op9_token_counts
-from quillon.llm.urls import op7_url_filter
+from quillon.llm.urls import RULES, filter_urls, op7_url_filter
+
+
+def pii_base_counts(spark, sf_dir):
+    """How many base identifiers of each kind every document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", base_spans(F.coalesce(F.col("text"), F.lit(""))).alias("base"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return docs.select("doc_id", *map(count, KINDS))
+
+
+def url_host_path_rule(spark, sf_dir):
+    """Host, path and rule of every page, and the verdict where a rule decides."""
+    found = filter_urls(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
 
 QUERIES = {
     f.__name__: f
@@ -28,4 +45,29 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+QUERIES |= {f.__name__: f for f in (pii_base_counts, url_host_path_rule)}
+
+_MATCHES = "SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{}')) AS m FROM documents"
+_DIGITS = "SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM"
+_DOUBLED = "CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT ELSE (2 * substr(d, i, 1)::INT) // 10 + (2 * substr(d, i, 1)::INT) % 10 END"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+ORACLE_SQL: dict[str, str] = {
+    "pii_base_counts": (
+        f"WITH e AS ({_MATCHES.format(r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')}), i AS ({_MATCHES.format(r'[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')}), "
+        f"c AS ({_MATCHES.format('[0-9]([ -]?[0-9])+')}), p AS ({_MATCHES.format(r'\+[0-9][ ().0-9-]+[0-9]')}), "
+        "i4 AS (SELECT doc_id, list_transform(string_split(m, '.'), lambda x: ltrim(x, '0')) AS q FROM i), "
+        "iv AS (SELECT doc_id FROM i4 WHERE len(list_filter(q, lambda x: length(x) > 3 OR coalesce(try_cast(x AS BIGINT), 0) > 255)) = 0), "
+        f"cd AS (SELECT row_number() OVER () AS k, * FROM ({_DIGITS} c) WHERE length(d) BETWEEN 16 AND 19), cx AS (SELECT k, doc_id, d, unnest(range(1, length(d) + 1)) AS i FROM cd), "
+        f"cv AS (SELECT k, doc_id FROM cx GROUP BY k, doc_id HAVING sum({_DOUBLED}) % 10 = 0), pv AS (SELECT doc_id FROM ({_DIGITS} p) WHERE length(d) BETWEEN 8 AND 15), "
+        "n AS (SELECT doc_id, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM e UNION ALL SELECT doc_id, 0, 1, 0, 0 FROM iv UNION ALL SELECT doc_id, 0, 0, 1, 0 FROM cv UNION ALL SELECT doc_id, 0, 0, 0, 1 FROM pv), "
+        "s AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM n GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(a, 0)::BIGINT AS n_email, coalesce(b, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(d, 0)::BIGINT AS n_phone FROM documents LEFT JOIN s USING (doc_id)"
+    ),
+    "url_host_path_rule": (
+        "WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
+        f"h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h), "
+        f"rules(rh, rp, v) AS (VALUES {_RULE_ROWS}), hit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict FROM u JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id) "
+        "SELECT page_id, host, path, rule, verdict FROM u LEFT JOIN hit USING (page_id)"
+    ),
+}
