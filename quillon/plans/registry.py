@@ -7,13 +7,16 @@ sums depend on their order.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import costs, dip
+from quillon.functions.unidip import unidip
 from quillon.operators import contingency as ct
 from quillon.operators import geometry as geo
-from quillon.operators import labelings, partition, trees
+from quillon.operators import dctree, density, labelings, partition, spectral, subspace, trees
+from quillon.operators.preprocessing import ZNormalizer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,9 +132,12 @@ def multi_labeling_same_anywhere(spark, sf_dir):
     return ct.multi_labeling_pair_counts(both, ["lang", "source"], ["quality", "toxic"])
 
 
-@query()
+@query(
+    f"WITH {_CELLS}, t AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM r), g AS (SELECT t.k, k.p, coalesce(n.n, 0) AS n FROM t CROSS JOIN k LEFT JOIN n ON n.t = t.t AND n.p = k.p) "
+    "SELECT round(max(a.n + b.n + c.n + d.n) / (SELECT m FROM m), 6) AS acc FROM g a JOIN g b ON a.k = 1 AND b.k = 2 AND a.p <> b.p JOIN g c ON c.k = 3 AND c.p NOT IN (a.p, b.p) JOIN g d ON d.k = 4 AND d.p NOT IN (a.p, b.p, c.p)"
+)
 def clustering_accuracy_lang_source(spark, sf_dir):
-    return spark.createDataFrame([(ct.clustering_accuracy(_cells(spark, sf_dir)),)], "acc double")
+    return spark.createDataFrame([(round(ct.clustering_accuracy(_cells(spark, sf_dir)), 6),)], "acc double")
 
 
 @query(f"WITH {_LONG}, s AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM l) SELECT id, dim - 1 AS dim, round((x - mu)/sd, 6) AS z FROM l, s")
@@ -143,9 +149,9 @@ def znorm_global(spark, sf_dir):
 
 @query(f"WITH {_LONG}, s AS (SELECT dim, avg(x) AS mu, stddev_pop(x) AS sd FROM l GROUP BY dim) SELECT id, dim - 1 AS dim, round((x - mu)/sd, 6) AS z FROM l JOIN s USING (dim)")
 def znorm_feature(spark, sf_dir):
-    long = _points(spark, sf_dir).select("id", F.posexplode("features").alias("dim", "x"))
-    stats = long.groupBy("dim").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-    return long.join(stats, "dim").select("id", F.col("dim").cast("long").alias("dim"), _r((F.col("x") - F.col("mu")) / F.col("sd"), "z"))
+    points = _points(spark, sf_dir)
+    scaled = ZNormalizer.fit(points, by_feature=True).transform(points)
+    return scaled.select("id", F.posexplode("features").alias("dim", "z")).select("id", F.col("dim").cast("long").alias("dim"), _r(F.col("z"), "z"))
 
 
 @query("SELECT label::INT AS label, count(*) AS n, round(0.5*ln(count(*)), 6) AS bic, round(0.5*log2(count(*)), 6) AS bic_bits FROM embeddings GROUP BY label")
@@ -288,10 +294,10 @@ def label_encoding(spark, sf_dir):
     return orders.join(codes, "o_orderpriority").select("o_orderkey", "code")
 
 
-@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
+@query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{2,}')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
 def tf_df(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
+    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("term"))
     per_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
@@ -369,14 +375,14 @@ def scatter_matrix_by_label_all_dims(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
+    "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}{2,}')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), "
     "f AS (SELECT term, count(*) AS df FROM c GROUP BY term), n AS (SELECT count(*) AS n FROM documents), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN f USING (term), n) "
     "SELECT doc_id, count(*) AS n_terms, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM w GROUP BY doc_id"
 )
 def tfidf_smooth_l2(spark, sf_dir):
     """Smoothed, length-normalised tf-idf weights: number of terms and largest weight of each document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("term"))
+    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("term"))
     tf = terms.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n"))
@@ -395,3 +401,101 @@ def gmeans_lineitem(spark, sf_dir):
     columns = ("l_quantity", "l_discount", "l_tax")
     items = _table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
     return partition.gmeans(items, 1).predict(items).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH {_CELLS}, a AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM r), b AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS j FROM k) "
+    'SELECT a.i AS "row", b.j AS "column", a.t AS "true", b.p AS pred, coalesce(n.n, 0) AS n FROM a CROSS JOIN b LEFT JOIN n ON n.t = a.t AND n.p = b.p'
+)
+def confusion_grid_lang_source(spark, sf_dir):
+    grid = ct.confusion_matrix(_cells(spark, sf_dir)).table(spark)
+    return grid.select(F.col("row").cast("long").alias("row"), F.col("column").cast("long").alias("column"), "true", "pred", "n")
+
+
+@query(f"WITH {_LONG}, d AS (SELECT DISTINCT dim, x FROM l), g AS (SELECT dim, x - lag(x) OVER (PARTITION BY dim ORDER BY x) AS g FROM d), m AS (SELECT dim, min(g) AS g FROM g WHERE g > 0 GROUP BY dim) SELECT round(1e6 * avg(g), 6) AS millionths FROM m")
+def feature_precision(spark, sf_dir):
+    return spark.createDataFrame([(round(1e6 * subspace.smallest_gaps(_points(spark, sf_dir)), 6),)], "millionths double")
+
+
+@query(f"WITH {_LONG}, v AS (SELECT label, dim, var_pop(x) AS v, count(*) AS n FROM l GROUP BY ALL) SELECT label, round(max(n) / (2 * ln(2)) * sum(1 + ln(2 * pi()) + ln(v)), 6) AS bits FROM v GROUP BY label")
+def mdl_diagonal_by_label(spark, sf_dir):
+    long = _points(spark, sf_dir).select("label", F.posexplode("features").alias("dim", "x"))
+    by_dim = long.groupBy("label", "dim").agg(F.var_pop("x").alias("v"), F.count("*").alias("n"))
+    return by_dim.groupBy("label").agg(F.max("n").alias("n"), F.sum(1 + F.log(2 * F.pi()) + F.log("v")).alias("s")).select("label", _r(F.col("n") / (2 * F.log(F.lit(2.0))) * F.col("s"), "bits"))
+
+
+@query(f"WITH {_PAIRS_ONCE} SELECT li AS label, count(*) AS pairs, round(avg(d), 6) AS mean FROM q WHERE i < j AND li = lj GROUP BY li")
+def mean_pair_distance_by_label(spark, sf_dir):
+    return geo.label_pair_sums(_points(spark, sf_dir)).select("label", "pairs", _r(F.col("total") / F.col("pairs"), "mean"))
+
+
+@query(
+    f"WITH {_PAIRS_ONCE}, b AS (SELECT i, j, d FROM k WHERE rk <= 5 UNION ALL SELECT j, i, d FROM k WHERE rk <= 5), e AS (SELECT i, j, sum(d) / 2 AS w FROM b GROUP BY ALL), g AS (SELECT i, sum(w) AS g FROM e GROUP BY i) "
+    "SELECT e.i, e.j, round(w / sqrt(a.g * b.g), 6) AS w FROM e JOIN g a ON a.i = e.i JOIN g b ON b.i = e.j"
+)
+def normalised_knn_graph(spark, sf_dir):
+    return spectral.normalised_graph(_points(spark, sf_dir), 5).select("i", "j", _r(F.col("w"), "w"))
+
+
+@query(f"WITH {_PAIRS_ONCE}, c AS (SELECT i, max(d) AS d FROM k WHERE rk <= 5 GROUP BY i), r AS (SELECT quantile_cont(d, 0.99) AS r FROM c) SELECT q.i, count(*) AS degree, round(sum(d), 6) AS total FROM q, r WHERE d <= r GROUP BY q.i")
+def radius_graph_degrees(spark, sf_dir):
+    return spectral.radius_graph(_points(spark, sf_dir), 5, 0.99).groupBy("i").agg(F.count("*").alias("degree"), _r(F.sum("w"), "total"))
+
+
+@query(
+    f"WITH {_PAIRS_ONCE}, m AS (SELECT 0.5 * avg(d) AS r FROM q WHERE i < j), h AS MATERIALIZED (SELECT i, round(sum(exp(-((d / r) ** 2))), 9) AS rho FROM q, m GROUP BY i), "
+    "u AS (SELECT q.i, min(q.d) AS d, arg_min(q.j, (q.d, q.j)) AS j FROM q JOIN h a ON a.i = q.i JOIN h b ON b.i = q.j WHERE b.rho > a.rho OR (b.rho = a.rho AND b.i < a.i) GROUP BY q.i), f AS (SELECT i, max(d) AS d FROM q GROUP BY i) "
+    "SELECT h.i AS id, round(rho, 5) AS rho, round(coalesce(u.d, f.d), 6) AS delta, u.j AS parent FROM h JOIN f USING (i) LEFT JOIN u USING (i)"
+)
+def density_peaks_embeddings(spark, sf_dir):
+    return density.density_peaks(_points(spark, sf_dir), 0.5).select("id", F.round("rho", 5).alias("rho"), _r(F.col("delta"), "delta"), "parent")
+
+
+@query()
+def spanning_tree_embeddings(spark, sf_dir):
+    """Edges by length of a minimum spanning tree of mutual reachability."""
+    return dctree.spanning_tree(_points(spark, sf_dir), 5).groupBy(_r(F.col("w"), "w")).agg(F.count("*").alias("n"))
+
+
+@query()
+def dc_tree_cut_embeddings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    tree = dctree.dc_tree(points, 5)
+    return dctree.with_labels(points, tree, tree.labels_for_k(10)).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def multi_density_dbscan_embeddings(spark, sf_dir):
+    return density.multi_density_dbscan(_points(spark, sf_dir), 15, 2.5, 2).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def diana_suppliers(spark, sf_dir):
+    points = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array("s_acctbal").alias("features"))
+    return density.diana(points, 5)[0]
+
+
+@query()
+def unidip_event_values(spark, sf_dir):
+    """Modal intervals of the values of each type of event; a type's values are sorted in one task."""
+
+    def run(key, frame):
+        x = frame["value"].dropna().to_numpy(float)
+        labels, clusters = unidip(x)
+        x.sort()
+        return pd.DataFrame([(key[0], k, float(x[a]), float(x[b - 1]), b - a) for k, (a, b) in enumerate(clusters)], columns=["event_type", "cluster", "low", "high", "n"])
+
+    return _table(spark, sf_dir, "events").select("event_type", "value").groupBy("event_type").applyInPandas(run, "event_type string, cluster int, low double, high double, n long")
+
+
+@query()
+def sub_kmeans_embeddings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    model = subspace.sub_kmeans(points, 10, rounds=20)
+    return model.predict(points, "found").groupBy("label", F.col("found")[0].alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query()
+def lda_kmeans_embeddings(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    return subspace.lda_kmeans(points, 10, rounds=10).predict(points).groupBy("label", "cluster").agg(F.count("*").alias("n"))
