@@ -445,10 +445,10 @@ def radius_graph_degrees(spark, sf_dir):
 @query(
     f"WITH {_PAIRS_ONCE}, m AS (SELECT 0.5 * avg(d) AS r FROM q WHERE i < j), h AS MATERIALIZED (SELECT i, round(sum(exp(-((d / r) ** 2))), 9) AS rho FROM q, m GROUP BY i), "
     "u AS (SELECT q.i, min(q.d) AS d, arg_min(q.j, (q.d, q.j)) AS j FROM q JOIN h a ON a.i = q.i JOIN h b ON b.i = q.j WHERE b.rho > a.rho OR (b.rho = a.rho AND b.i < a.i) GROUP BY q.i), f AS (SELECT i, max(d) AS d FROM q GROUP BY i) "
-    "SELECT h.i AS id, round(rho, 5) AS rho, round(coalesce(u.d, f.d), 6) AS delta, u.j AS parent FROM h JOIN f USING (i) LEFT JOIN u USING (i)"
+    "SELECT h.i AS id, round(rho, 5) AS rho, round(coalesce(u.d, f.d), 6) AS delta, coalesce(u.j, -1) AS parent FROM h JOIN f USING (i) LEFT JOIN u USING (i)"
 )
 def density_peaks_embeddings(spark, sf_dir):
-    return density.density_peaks(_points(spark, sf_dir), 0.5).select("id", F.round("rho", 5).alias("rho"), _r(F.col("delta"), "delta"), "parent")
+    return density.density_peaks(_points(spark, sf_dir), 0.5).select("id", F.round("rho", 5).alias("rho"), _r(F.col("delta"), "delta"), F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
 @query()
