@@ -169,6 +169,11 @@ class DCTree:
         full = full if rows is None else full[np.asarray(rows)]
         return full if columns is None else full[:, np.asarray(columns)]
 
+    def table_arrays(self) -> TreeArrays:
+        """Parents and distances of the nodes as arrays, for lookups of many pairs."""
+        parent = np.array([x.parent.id if x.parent else x.id for x in self.nodes], np.int64)
+        return TreeArrays(parent, np.array([x.dist for x in self.nodes]))
+
     def _cut(self, k: int) -> list[Node]:
         """The k subtrees left when the last k - 1 merges are undone, right ones first."""
         found, stack = [], [self.root]
@@ -239,6 +244,21 @@ class DCTree:
         return labels
 
 
+@dataclass(frozen=True)
+class TreeArrays:
+    parent: np.ndarray
+    dist: np.ndarray
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """dc-distances of pairs of points: the lower node of each pair climbs until both meet."""
+        a, b = i.copy(), j.copy()
+        while (apart := a != b).any():
+            low = apart & (a < b)
+            high = apart & (a > b)
+            a[low], b[high] = self.parent[a[low]], self.parent[b[high]]
+        return self.dist[a]
+
+
 def dc_tree(points: DataFrame, min_points: int = 5, id_col: str = "id", features: str = "features") -> DCTree:
     """Tree of a table's points; the driver holds one id and one edge a point."""
     edges = [tuple(r) for r in spanning_tree(points, min_points, id_col, features).collect()]
