@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from quillon.llm.chunks import MAX_BYTES, containment, chunk_set, cuts, fingerprint, op2_document_fingerprints
+from quillon.llm.chunks import _GEAR, EARLY_BITS, LATE_BITS, MAX_BYTES, MIN_BYTES, WANTED_BYTES, containment, chunk_set, cuts, fingerprint, op2_document_fingerprints
 
 
 def docs(spark, rows, path):
@@ -22,6 +22,40 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert cuts(b"a" * 100000)[-1] == 100000
 
 
+def plain_cuts(data):
+    """Byte at a time: a rolling gear hash of 32 bits, whose upper bits decide."""
+    ends, start, h = [], 0, 0
+    for p, byte in enumerate(data, 1):
+        h = ((h << 1) + int(_GEAR[byte])) & 0xFFFFFFFF
+        if p - start > MAX_BYTES:
+            start += MAX_BYTES
+            ends.append(start)
+        size = p - start
+        if size >= MIN_BYTES and (h >> 32 - EARLY_BITS == 0 or (h >> 32 - LATE_BITS == 0 and size >= WANTED_BYTES)):
+            ends.append(p)
+            start = p
+    return ends + [len(data)] * (start < len(data))
+
+
+def plain_likeness(a, b):
+    """Chunks as strings: length of a's distinct chunks that b has too, over that of all of a's."""
+    parts = lambda data: {data[x:y] for x, y in zip([0, *plain_cuts(data)], plain_cuts(data))}
+    own, other = parts(a), parts(b)
+    total = sum(map(len, own))
+    return sum(len(c) for c in own & other) / total if total else float(not other)
+
+
+def test_chunks_and_likeness_equal_a_plain_chunker():
+    rng = random.Random(7)
+    words = [bytes(rng.choices(b"abcdefgh ", k=rng.randint(1, 9))) for _ in range(300)]
+    texts = [b" ".join(rng.choices(words, k=rng.choice([0, 1, 30, 900]))) for _ in range(24)] + [b"a" * (2 * MAX_BYTES + 5), bytes(rng.randrange(256) for _ in range(9000))]
+    texts += [t[: len(t) // 2] + texts[k - 1][:200] + t[len(t) // 2 :] for k, t in enumerate(texts)]
+    for t in texts:
+        assert cuts(t) == plain_cuts(t)
+    for a, b in zip(texts, texts[1:] + texts[26:]):
+        assert containment(chunk_set(a), chunk_set(b)) == pytest.approx(plain_likeness(a, b))
+
+
 def test_blocks_do_not_change_the_cuts(monkeypatch):
     rng = random.Random(2)
     data = bytes(rng.randrange(256) for _ in range(50000))

@@ -1,10 +1,12 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from quillon.llm.decontaminate import contaminated_pairs, decontaminate, op3_decontamination
-from quillon.llm.quality import WeakLabels, keep_good, op8_quality_classifier, quality, votes
+from quillon.llm.quality import DECAY, EM_ROUNDS, RARE, RATE, STEPS, WeakLabels, keep_good, op8_quality_classifier, quality, shape, votes
 
 
 def test_quality_agrees_with_labels(spark):
@@ -14,6 +16,58 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
 
 
+def plain_scores(texts):
+    """EM over single votes and logistic regression over dictionaries, in plain loops."""
+    seen = Counter(votes(t) for t in texts)
+    seen = {v: n for v, n in sorted(seen.items()) if any(v)}
+    good = {v: 0.1 if -1 in v else 0.9 for v in seen}
+    for _ in range(EM_ROUNDS):
+        w1, w0 = {v: n * good[v] for v, n in seen.items()}, {v: n * (1 - good[v]) for v, n in seen.items()}
+        prior = (sum(w1.values()) + 1) / (sum(seen.values()) + 2)
+        said = lambda w, j, s: sum(x for v, x in w.items() if v[j] == s)
+        on_bad = [(said(w0, j, -1) + 1) / (said(w0, j, -1) + said(w0, j, 1) + 4) for j in range(8)]
+        on_good = [min(1 - 1e-6, max(1 - RARE, (said(w1, j, 1) + 1) / (said(w1, j, -1) + said(w1, j, 1) + 1))) for j in range(8)]
+        for v in seen:
+            odds = math.log(prior / (1 - prior))
+            for j, s in enumerate(v):
+                odds += math.log((1 - on_good[j]) / on_bad[j]) if s == -1 else math.log(on_good[j] / (1 - on_bad[j])) if s == 1 else 0
+            good[v] = 1 / (1 + math.exp(-max(-500, min(500, odds))))
+
+    def features(text):
+        data, found = shape(text.encode()), Counter()
+        for n in (1, 2, 3):
+            for k in range(len(data) - n + 1):
+                code = int.from_bytes(data[k : k + n], "little")
+                found[((code + (n << 28)) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        total = sum(found.values())
+        return {s: math.sqrt(c / total) for s, c in found.items()}
+
+    rows = [(features(t), good[votes(t)]) for t in texts if votes(t) in good]
+    yes, no = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    w, b = np.zeros(1 << 12), 0.0
+    for _ in range(STEPS):
+        step, bias = DECAY * w, 0.0
+        for x, y in rows:
+            z = sum(w[s] * v for s, v in x.items()) + b
+            miss = (1 / (1 + math.exp(-z)) - y) * (y / yes + (1 - y) / no) / 2
+            bias += miss
+            for s, v in x.items():
+                step[s] += miss * v
+        w, b = w - RATE * step, b - RATE * bias
+    return [1 / (1 + math.exp(-(sum(w[s] * v for s, v in features(t).items()) + b))) if t.strip() else 0.0 for t in texts]
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = random.Random(3)
+    words = ["the", "quick", "Brown", "fox", "jumps", "over", "it", "all", "and", "runs."]
+    texts = [" ".join(rng.choices(words, k=rng.randint(12, 25))) + "." for _ in range(30)]
+    texts += [" ".join(rng.choices(["###", "%%%", "$$", "BUY", "NOW!!"], k=15)) for _ in range(8)] + ["", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality(docs, sample=10**6).collect()}
+    for k, want in enumerate(plain_scores(texts)):
+        assert abs(got[k] - want) < 1e-4, (k, got[k], want)
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (3, " \n\t"), (None, "A plain sentence, which is fine."), (5, "word " * 40000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as keep", "3 as n", "4 as votes")
