@@ -1 +1 @@
-
+"""Clustering of streams."""
