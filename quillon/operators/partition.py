@@ -64,7 +64,8 @@ def _moments(points: DataFrame, centres: np.ndarray, children: np.ndarray | None
             r = x - base
             np.add.at(total, at, np.concatenate([np.ones((len(x), 1)), r, r * r], axis=1))
         used = np.flatnonzero(total[:, 0])
-        yield pd.DataFrame({"at": used, "sums": list(total[used])})
+        if len(used):  # a column of no arrays would have no type
+            yield pd.DataFrame({"at": used, "sums": list(total[used])})
 
     rows = points.select("features").mapInPandas(add, "at int, sums array<double>")
     rows = rows.select("at", F.posexplode("sums").alias("pos", "x")).groupBy("at", "pos").agg(F.sum("x").alias("x"))

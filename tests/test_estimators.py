@@ -168,3 +168,14 @@ def test_evaluation(spark):
     assert got["km", "clusters"] == 4 and got["bad", "clusters"] is None
     text = evaluation.latex_table(summary, multiplier=1)
     assert r"\textbf{$4.0 \pm 0.0$}" in text and " - " in text.replace("&", " ")
+
+
+def test_partitions_without_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(20.0 * (k % 2), 1.0, 2)]) for k in range(10)]
+    points = spark.createDataFrame(rows, "id long, features array<double>").repartition(16, "id")
+    model = partition.kmeans(points, 2, seed=1)
+    assert sorted(np.round(model.centres[:, 0] / 20).tolist()) == [0, 1]
+    assert partition.gmeans(points, 1).k >= 1 and partition.xmeans(points, 1).k >= 1
+    n, mean, _ = partition.scatter(points)
+    assert n == 10 and np.allclose(mean, np.mean([r[1] for r in rows], 0))
