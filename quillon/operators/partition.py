@@ -10,15 +10,19 @@ split all clusters in the same round.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that may seed the first centres (those of the smallest hashes).
 INIT_ROWS = 10_000
+#: Distances that a task holds at once.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,16 @@ class Model:
         return points.withColumn(name, nearest("features"))
 
 
+@contextmanager
+def held(points: DataFrame):
+    """Points kept for the passes of a fit, spilling to disk; what an executor loses is read again."""
+    kept = points.select("id", F.col("features").cast("array<double>").alias("features")).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (((centres**2).sum(1) - 2 * x @ centres.T)).argmin(1)
 
@@ -49,25 +63,28 @@ def _moments(points: DataFrame, centres: np.ndarray, children: np.ndarray | None
     """n (k, 2), sums and sums of squares (k, 2, d) of residuals to centres or, given them, to each centre's two children."""
     k, d = centres.shape
 
-    def add(frames):
+    def add(batches):
         total = np.zeros((k * 2, 1 + 2 * d))
-        for frame in frames:
-            if not len(frame):
-                continue
-            x = np.stack(frame["features"]).astype(float)
-            at = _nearest(x, centres) * 2
-            base = centres[at // 2]
-            if children is not None:
-                both = children[at // 2]
-                at = at + (((x[:, None] - both) ** 2).sum(2).argmin(1))
-                base = children.reshape(-1, d)[at]
-            r = x - base
-            np.add.at(total, at, np.concatenate([np.ones((len(x), 1)), r, r * r], axis=1))
+        for batch in batches:
+            points_of = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+            for x in np.array_split(points_of, len(points_of) * k // CELLS + 1):
+                at = _nearest(x, centres) * 2
+                base = centres[at // 2]
+                if children is not None:
+                    apart = children[:, 1] - children[:, 0]
+                    middle = (children[:, 1] + children[:, 0]) / 2
+                    at = at + (((x - middle[at // 2]) * apart[at // 2]).sum(1) > 0)
+                    base = children.reshape(-1, d)[at]
+                r = x - base
+                total[:, 0] += np.bincount(at, minlength=2 * k)
+                for j in range(d):
+                    total[:, 1 + j] += np.bincount(at, r[:, j], 2 * k)
+                    total[:, 1 + d + j] += np.bincount(at, r[:, j] ** 2, 2 * k)
         used = np.flatnonzero(total[:, 0])
-        if len(used):  # a column of no arrays would have no type
-            yield pd.DataFrame({"at": used, "sums": list(total[used])})
+        if len(used):
+            yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int32()), "sums": pa.array(list(total[used]), pa.list_(pa.float64()))})
 
-    rows = points.select("features").mapInPandas(add, "at int, sums array<double>")
+    rows = points.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(add, "at int, sums array<double>")
     rows = rows.select("at", F.posexplode("sums").alias("pos", "x")).groupBy("at", "pos").agg(F.sum("x").alias("x"))
     out = np.zeros((k * 2, 1 + 2 * d))
     for row in rows.collect():  # 2k(2d + 1) numbers at most
@@ -95,15 +112,15 @@ def _seed(points: DataFrame, k: int, seed: int, rows: int = INIT_ROWS) -> np.nda
     return np.array(chosen)
 
 
-def lloyd(points: DataFrame, centres: np.ndarray, rounds: int = 100, tol: float = 1e-6) -> Model:
-    """Move centres to the means of their points until they rest; a centre without points stays."""
+def lloyd(points: DataFrame, centres: np.ndarray, rounds: int = 100, tol: float = 1e-4) -> Model:
+    """Move centres to the means of their points until their squared steps add up to ``tol`` times the mean squared distance over the dimensions; a centre without points stays."""
     inertia = math.inf
     for _ in range(rounds):
         n, r, q = (m[:, 0] for m in _moments(points, centres))
         inertia = float((q.sum(1) - (r**2).sum(1) / np.maximum(n, 1)).sum())
         step = r / np.maximum(n, 1)[:, None]
         centres = centres + step
-        if (step**2).sum(1).max() <= tol * max(q.sum() / max(n.sum(), 1), 1e-300):
+        if (step**2).sum() <= tol * max(q.sum() / max(n.sum(), 1) / centres.shape[1], 1e-300):
             break
     return Model(centres, inertia)
 
@@ -213,8 +230,9 @@ def xmeans(points: DataFrame, k: int = 2, max_k: int | None = None, seed: int =
         d = centres.shape[1]
         return np.array([n[c].min() > 0 and bic(n[c].sum(keepdims=True), parent[c], d) < bic(n[c], sse[c].sum(), d) for c in range(len(centres))])
 
-    model = _grow(points, kmeans(points, k, seed), max_k, verdict, (lambda m: global_bic(points, m)) if check_global_score else None)
-    return merge_by_bic(points, model) if allow_merging else model
+    with held(points) as points:
+        model = _grow(points, kmeans(points, k, seed), max_k, verdict, (lambda m: global_bic(points, m)) if check_global_score else None)
+        return merge_by_bic(points, model) if allow_merging else model
 
 
 def log_normal_cdf(z: np.ndarray) -> np.ndarray:
@@ -291,7 +309,8 @@ def gmeans(points: DataFrame, k: int = 1, max_k: int | None = None, significance
             marked[row["group"]] = row["a2"] is not None and anderson_p_value(row["a2"]) < significance
         return marked
 
-    return _grow(points, kmeans(points, k, seed), max_k, verdict)
+    with held(points) as points:
+        return _grow(points, kmeans(points, k, seed), max_k, verdict)
 
 
 def reference_points(points: DataFrame, b: int, seed: int = 0) -> DataFrame:
