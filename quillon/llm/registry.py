@@ -14,6 +14,7 @@ from quillon.llm.quality import op8_quality_classifier
 from quillon.llm.simhash import op10_simhash_near_dedup
 from quillon.llm.suffixes import op5_suffix_dedup
 from quillon.llm.tokens import op9_token_counts
+from quillon.llm.trie import op11_prefix_trie
 from quillon.llm.urls import RULES, filter_urls, op7_url_filter
 
 
@@ -43,10 +44,17 @@ QUERIES = {
         op8_quality_classifier,
         op9_token_counts,
         op10_simhash_near_dedup,
+        op11_prefix_trie,
     )
 }
 QUERIES |= {f.__name__: f for f in (pii_base_counts, url_host_path_rule)}
 
+#: Tables of CRC-32 steps and of the checksum of any byte list, by the polynomial.
+_CRC = (
+    "crc(i, k, v) AS (SELECT i, 0, i::UBIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END FROM crc WHERE k < 8), "
+    "steps AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8)"
+)
+_CRC_OF = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::UBIGINT)), lambda a, x: xor(a >> 8, t[((xor(a, x) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
 _MATCHES = "SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{}')) AS m FROM documents"
 _DIGITS = "SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM"
 _DOUBLED = "CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT ELSE (2 * substr(d, i, 1)::INT) // 10 + (2 * substr(d, i, 1)::INT) % 10 END"
@@ -64,6 +72,20 @@ ORACLE_SQL: dict[str, str] = {
         "s AS (SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM n GROUP BY doc_id) "
         "SELECT doc_id, coalesce(a, 0)::BIGINT AS n_email, coalesce(b, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(d, 0)::BIGINT AS n_phone FROM documents LEFT JOIN s USING (doc_id)"
     ),
+    "op11_prefix_trie": (
+        f"WITH RECURSIVE {_CRC}, o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p FROM conversations WHERE conv_id IS NOT NULL), "
+        f"ids AS (SELECT c, c - c % 100 AS b, {_CRC_OF.format('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM o), steps), "
+        "turns AS (SELECT ids.c, p, r, x, 0 AS own FROM ids JOIN o ON o.c = ids.b AND p <= h UNION ALL SELECT ids.c, p, r, x, 1 FROM ids JOIN o ON o.c = ids.c AND p > h), "
+        "n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, r, x FROM turns), "
+        "k AS (SELECT c, d, x, sha256(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM n UNION ALL SELECT c, 0, '', '' FROM ids), "
+        "e AS (SELECT c, max(d) AS e FROM k GROUP BY c), "
+        "nodes AS (SELECT k, any_value(d) AS d, min(c) AS m, count(*) AS n, any_value(x) AS x, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = e), '')) AS digest FROM k JOIN e USING (c) GROUP BY k), "
+        "up AS (SELECT DISTINCT b.k, a.k AS p FROM k a JOIN k b ON a.c = b.c AND b.d = a.d + 1), kids AS (SELECT p AS k, count(*) AS kids FROM up GROUP BY p), "
+        "below AS (SELECT DISTINCT a.k AS top, b.k FROM k a JOIN k b ON a.c = b.c AND b.d >= a.d), "
+        "sums AS (SELECT top AS k, sum(CASE WHEN kids IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * length(x)) AS saved FROM below JOIN nodes ON nodes.k = below.k LEFT JOIN kids ON kids.k = below.k GROUP BY top) "
+        "SELECT nodes.m AS conv_id, nodes.d::BIGINT AS depth, a.m AS parent_conv_id, nodes.n AS n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.digest AS ends_sha256 "
+        "FROM nodes JOIN sums ON sums.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k LEFT JOIN up ON up.k = nodes.k LEFT JOIN nodes a ON a.k = up.p"
+    ),
     "url_host_path_rule": (
         "WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
         f"h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h), "
