@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.llm.chat import CLOSE, HEAD_END, OPEN, op12_chat_formatting
 from quillon.llm.chunks import op2_document_fingerprints
 from quillon.llm.decontaminate import op3_decontamination
 from quillon.llm.language import op6_language_id
@@ -11,6 +12,7 @@ from quillon.llm.packing import op4_best_fit_packing
 from quillon.llm.common import table
 from quillon.llm.pii import KINDS, base_spans, op1_pii
 from quillon.llm.quality import op8_quality_classifier
+from quillon.llm.repair import op13_structure_repair
 from quillon.llm.simhash import op10_simhash_near_dedup
 from quillon.llm.suffixes import op5_suffix_dedup
 from quillon.llm.tokens import op9_token_counts
@@ -45,6 +47,8 @@ QUERIES = {
         op9_token_counts,
         op10_simhash_near_dedup,
         op11_prefix_trie,
+        op12_chat_formatting,
+        op13_structure_repair,
     )
 }
 QUERIES |= {f.__name__: f for f in (pii_base_counts, url_host_path_rule)}
@@ -86,6 +90,12 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT nodes.m AS conv_id, nodes.d::BIGINT AS depth, a.m AS parent_conv_id, nodes.n AS n_convs, coalesce(kids, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.digest AS ends_sha256 "
         "FROM nodes JOIN sums ON sums.k = nodes.k LEFT JOIN kids ON kids.k = nodes.k LEFT JOIN up ON up.k = nodes.k LEFT JOIN nodes a ON a.k = up.p"
     ),
+    "op12_chat_formatting": (
+        "WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations UNION ALL SELECT -7, t, r, chr(92) || '### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)), "
+        "g AS (SELECT conv_id, count(*) AS n, string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x) AS lines, coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (r = 'assistant'), '') AS loss, "
+        f"sum(length(r || x) + 2 * length(r || x) - length(replace(replace(r || x, '<', ''), '>', '')) - length(replace(r || x, chr(92), '')) + {len(OPEN + HEAD_END + CLOSE)}) AS chars FROM o GROUP BY conv_id) "
+        "SELECT conv_id, n AS n_turns, sha256(lines) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"
+    ),
     "url_host_path_rule": (
         "WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
         f"h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h), "

@@ -34,12 +34,11 @@ NODE = ["depth", "k1", "k2"]
 def slim_turns(turns: DataFrame) -> DataFrame:
     """(conv, turn, role, t1, t2, chars): two hashes of role and text instead of the text; null roles and texts are empty, rows without conv_id go."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("turn"), role.alias("role"), F.xxhash64(role, text).alias("t1"), F.xxhash64(F.lit(1), text, role).alias("t2"), F.length(text).cast("long").alias("chars"))
-    return rows
+    return turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").alias("turn"), role.alias("role"), F.xxhash64(role, text).alias("t1"), F.xxhash64(F.lit(1), text, role).alias("t2"), F.length(text).cast("long").alias("chars"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Slim turns with ``pos`` from 1: by turn, null first, then role and hashes.
+    """Slim turns with ``pos`` from 1 in each conv: by turn, null first, then role and hashes.
 
     Ranges of the order are numbered by themselves; what a conversation has in
     earlier ranges is added, which concerns one conversation a range.
@@ -50,7 +49,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("conv").orderBy("part")) - F.col("n")).where("before > 0").drop("n")
     local = dealt.withColumn("pos", F.row_number().over(Window.partitionBy("conv", "part").orderBy(*order)))
     joined = local.join(F.broadcast(before), ["conv", "part"], "left")  # at most a row for each partition
-    return joined.select("conv", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"), "t1", "t2", "chars")
+    return joined.select(*rows.columns, (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"))
 
 
 def with_heads_of(rows: DataFrame, ids: DataFrame, every: int = 100, most: int = 6) -> DataFrame:
@@ -203,7 +202,7 @@ def conversation_trie(turns: DataFrame, rebuild: bool = False) -> DataFrame:
     :func:`with_heads_of`.  Texts are hashed where they are read and travel no
     further, so their length does not matter.
     """
-    rows = reliable(numbered(slim_turns(turns)))
+    rows = reliable(numbered(slim_turns(turns)).select("conv", "pos", "t1", "t2", "chars"))
     ids = reliable(rows.select("conv").distinct())
     return prefix_trie(with_heads_of(rows, ids) if rebuild else rows, ids)
 

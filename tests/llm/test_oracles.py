@@ -11,7 +11,8 @@ def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    want = con.sql(ORACLE_SQL[name]).df()
-    got = QUERIES[name](spark, DIR).toPandas()[list(want.columns)]
-    as_rows = lambda df: sorted(tuple(str(v) for v in r) for r in df.itertuples(index=False))
-    assert as_rows(got) == as_rows(want) and len(want)
+    want = con.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, DIR).select(*want.columns).collect()
+    as_rows = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    rows = want.fetchall()
+    assert as_rows(got) == as_rows(rows) and len(rows)
