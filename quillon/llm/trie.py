@@ -147,11 +147,12 @@ def member_digests(ends: DataFrame) -> DataFrame:
 
     def write(frames):
         for frame in frames:
-            ids = frame["conv"].to_numpy()
+            ids, at, pieces = frame["conv"].to_numpy(), [], []
             for a, b in _runs(frame) if len(frame) else []:
                 for x in range(a, b, PIECE // 20):
-                    y = min(b, x + PIECE // 20)
-                    yield frame.iloc[x : x + 1].assign(piece=",".join(map(str, ids[x:y].tolist())))
+                    at.append(x)
+                    pieces.append(",".join(map(str, ids[x : min(b, x + PIECE // 20)].tolist())))
+            yield frame.iloc[at].assign(piece=pd.Series(pieces, index=frame.index[at], dtype=object))
 
     def digest(frames):
         key, held = None, None
