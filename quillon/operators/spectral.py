@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import geometry as geo
-from quillon.operators.partition import Model, kmeans
+from quillon.operators.eigen import leading
+from quillon.operators.lineage import cut
+from quillon.operators.partition import Model, _moments, kmeans
 
 
 def radius_graph(points: DataFrame, neighbours: int = 10, share: float = 0.99, id_col: str = "id", features: str = "features") -> DataFrame:
@@ -36,61 +38,70 @@ def normalised_graph(points: DataFrame, neighbours: int = 10, id_col: str = "id"
     return scaled.select("i", "j", (F.col("w") / F.sqrt(F.col("di") * F.col("dj"))).alias("w"))
 
 
-def embedding(edges: DataFrame, ids: list, dims: int) -> np.ndarray:
-    """Rows: abs of the leading eigenvectors by absolute eigenvalue times its root.
+def symmetric(edges: DataFrame) -> DataFrame:
+    """(i, j, w): half the sum of both directions of an edge table."""
+    both = edges.select("i", "j", "w").unionAll(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    return both.groupBy("i", "j").agg((F.sum("w") / 2).alias("w"))
 
-    The driver holds the graph as a dense matrix, so this serves as many points
-    as fit one machine (some ten thousand).
+
+def embedding(edges: DataFrame, ids: DataFrame, dims: int, seed: int = 0) -> DataFrame:
+    """(id, features): abs of the leading eigenvectors by absolute eigenvalue times its root; nothing of the size of the graph leaves Spark."""
+    values, rows = leading(edges, dims, ids, seed=seed)
+    roots = F.array(*[F.lit(float(math.sqrt(abs(v)))) for v in values])
+    return cut(rows.select("id", F.zip_with("q", roots, lambda x, r: F.abs(x) * r).alias("features")))
+
+
+def _bound(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> float:
+    """Log of a bound on the probability that two groups of rows are one cluster; 0 at most.
+
+    ``n`` (2,), sums and sums of squares (2, dims) of both groups.  Columns are
+    centred and scaled to their length over both; the bound is Bernstein's on the
+    larger squared length of a group's sum per row (Hess et al., 2019).
     """
-    place = {x: k for k, x in enumerate(ids)}
-    w = np.zeros((len(ids), len(ids)))
-    for r in edges.select("i", "j", "w").collect():
-        w[place[r["i"]], place[r["j"]]] = r["w"]
-    values, vectors = np.linalg.eigh((w + w.T) / 2)
-    order = np.argsort(np.abs(values), kind="stable")[::-1][: min(dims, len(ids) - 1)]
-    return np.abs(vectors[:, order]) * np.sqrt(np.abs(values[order]))
+    size = np.sqrt(s2.sum(0))
+    size = np.where(size > 0, size, 1)
+    mean, rows, m = s1.sum(0) / n.sum(), n.sum(), s1.shape[1]
+    variance = float(((s2.sum(0) - rows * mean**2) / size**2).sum()) / (rows * m)
+    lengths = (((s1 - n[:, None] * mean) / size) ** 2).sum(1)
+    t = float((lengths / np.maximum(n, 1)).max()) - variance * m
+    spread = m * variance + t / 3
+    return min(0.0, math.log(rows) - 0.5 * t * t / spread) if spread > 0 else 0.0
 
 
 def log_bound(d: np.ndarray, first: np.ndarray, second: np.ndarray) -> float:
-    """Log of a bound on the probability that two groups of rows are one cluster; 0 at most."""
-    both = np.concatenate([first, second])
-    size = np.linalg.norm(d[both], axis=0)
-    z = (d[both] - d[both].mean(0)) / np.where(size > 0, size, 1)
-    n, m = z.shape
-    variance = float((z**2).mean())
-    t = max(float((z[own].sum(0) ** 2).sum()) / max(len(own), 1) for own in (np.arange(len(first)), np.arange(len(first), n))) - variance * m
-    spread = m * variance + t / 3
-    return min(0.0, math.log(n) - 0.5 * t * t / spread) if spread > 0 else 0.0
+    """:func:`_bound` of the rows at two sets of positions."""
+    groups = [d[first], d[second]]
+    return _bound(np.array([len(g) for g in groups], float), np.array([g.sum(0) for g in groups]), np.array([(g**2).sum(0) for g in groups]))
 
 
-def special_k(points: DataFrame, significance: float = 0.01, dims: int = 200, graph: str | DataFrame = "NAM", neighbours: int = 5, share: float = 0.99, pairs: int = 10, max_k: int = 64, seed: int = 0, id_col: str = "id", features: str = "features") -> tuple[DataFrame, int]:
+def special_k(points: DataFrame, significance: float = 0.01, dims: int = 200, graph: str | DataFrame = "NAM", neighbours: int = 5, share: float = 0.99, pairs: int = 10, max_k: int | None = None, seed: int = 0, id_col: str = "id", features: str = "features") -> tuple[DataFrame, int]:
     """(id, cluster) and k: clusters are added until two of them may be one.
 
     ``graph``: NAM (neighbourhood radius), SAM (normalised neighbours), or an
-    edge table (i, j, w).
+    edge table (i, j, w), of which the mean of both directions is taken.  The
+    embedding comes from block Lanczos; each k costs the passes of k-means, one
+    for the sums of all clusters and one over the edges, and the driver sees
+    sums of clusters and cuts between them.
     """
     if graph not in ("NAM", "SAM") and not isinstance(graph, DataFrame):
         raise ValueError("graph is NAM, SAM or an edge table")
-    ids = sorted(r[0] for r in points.select(id_col).collect())
+    ids = points.select(F.col(id_col).alias("id"))
     edges = graph if isinstance(graph, DataFrame) else radius_graph(points, neighbours, share, id_col, features) if graph == "NAM" else normalised_graph(points, neighbours, id_col, features)
-    d = embedding(edges, ids, dims)
-    kind = points.schema[id_col].dataType.simpleString()
-    spark = points.sparkSession
-    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(d)], "id long, features array<double>").cache()
-    place = {x: k for k, x in enumerate(ids)}
-    weights = [(place[r["i"]], place[r["j"]], r["w"]) for r in edges.collect()]
-    labels, k = np.zeros(len(ids), np.int64), 1
-    while k < min(max_k, len(ids)):
+    edges = cut(symmetric(edges))
+    n = ids.count()
+    rows = embedding(edges, ids, min(dims, n - 1), seed)
+    labels, k = rows.select("id", F.lit(0).alias("cluster")), 1
+    while k < n and (max_k is None or k < max_k):
         model: Model = kmeans(rows, k + 1, seed)
-        new = np.array([r["cluster"] for r in model.predict(rows).orderBy("id").collect()])
-        groups = [np.flatnonzero(new == c) for c in range(k + 1)]
-        if any(not len(g) for g in groups):
+        new = cut(model.predict(rows).select("id", "cluster"))
+        size, r, q = (m[:, 0] for m in _moments(rows, model.centres))
+        if (size == 0).any():
             break
-        cut = np.zeros((k + 1, k + 1))
-        for i, j, w in weights:
-            cut[new[i], new[j]] += w
-        near = sorted(((-cut[a, b], a, b) for a in range(k + 1) for b in range(a)))[:pairs]  # the pairs with the largest cut
-        if max(log_bound(d, groups[a], groups[b]) for _, a, b in near) > math.log(significance):
+        s1, s2 = r + size[:, None] * model.centres, q + 2 * model.centres * r + size[:, None] * model.centres**2
+        ends = edges.join(new.select(F.col("id").alias("i"), F.col("cluster").alias("a")), "i").join(new.select(F.col("id").alias("j"), F.col("cluster").alias("b")), "j")
+        cuts = {(x["a"], x["b"]): x["w"] for x in ends.where("a > b").groupBy("a", "b").agg(F.sum("w").alias("w")).collect()}  # pairs of clusters
+        near = sorted((-cuts.get((a, b), 0.0), a, b) for a in range(k + 1) for b in range(a))[:pairs]  # the pairs with the largest cut
+        if max(_bound(size[[a, b]], s1[[a, b]], s2[[a, b]]) for _, a, b in near) > math.log(significance):
             break
         labels, k = new, k + 1
-    return spark.createDataFrame([(x, int(c)) for x, c in zip(ids, labels)], f"{id_col} {kind}, cluster int"), k
+    return labels.withColumnRenamed("id", id_col), k
