@@ -172,7 +172,7 @@ class PgModel:
     rounds: int
 
 
-def pg_means(points: DataFrame, significance: float = 0.001, projections: int | None = None, samples: int | None = None, new_centres: int = 10, random_share: float = 0.5, k: int = 1, max_k: int = 32, seed: int = 0) -> PgModel:
+def pg_means(points: DataFrame, significance: float = 0.001, projections: int | None = None, samples: int | None = None, new_centres: int = 10, random_share: float = 0.5, k: int = 1, max_k: int | None = None, seed: int = 0) -> PgModel:
     """Mixtures with growing k until no random projection tells the data from the model.
 
     A new component starts at one of the points of least likelihood, or at a
@@ -199,7 +199,7 @@ def pg_means(points: DataFrame, significance: float = 0.001, projections: int |
             if ks_p_value(*ks_statistic(values, drawn), samples) < significance:
                 rejected = True
                 break
-        if not rejected or model.k >= max_k or model.k >= n:
+        if not rejected or model.k >= n or (max_k is not None and model.k >= max_k):
             return PgModel(model, rounds)
         at_random = int(round(new_centres * random_share))
         worst = model.scored(points).orderBy("log_likelihood", "id").limit(new_centres - at_random).select("features").collect()

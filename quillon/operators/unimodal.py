@@ -55,10 +55,10 @@ def viewer_scores(points: DataFrame, significance: float, share: float, label: s
     return {r["cluster"]: (r["mean"] if r["split"] > share * r["n"] else 0.0) or 0.0 for r in scored.collect()}
 
 
-def dip_means(points: DataFrame, significance: float = 0.001, viewers: float = 0.01, trials: int = 10, k: int = 1, max_k: int = 64, seed: int = 0, p_value=p_value_of) -> Model:
+def dip_means(points: DataFrame, significance: float = 0.001, viewers: float = 0.01, trials: int = 10, k: int = 1, max_k: int | None = None, seed: int = 0, p_value=p_value_of) -> Model:
     """k-means whose most multimodal cluster, as its own points see it, is split until none is."""
     model = kmeans(points, k, seed)
-    while model.k < max_k:
+    while max_k is None or model.k < max_k:
         scores = viewer_scores(model.predict(points), significance, viewers, p_value=p_value)
         worst = max(scores, key=lambda c: (scores[c], -c))
         if scores[worst] <= 0:
@@ -87,11 +87,11 @@ def projected_p_values(points: DataFrame, axes: np.ndarray, label: str = "cluste
     return {c: (p_value(d, n), d, a) for c, (d, n, a) in best.items()}
 
 
-def projected_dip_means(points: DataFrame, significance: float = 0.001, random_axes: int = 0, trials: int = 10, k: int = 1, max_k: int = 64, seed: int = 0, p_value=p_value_of) -> Model:
+def projected_dip_means(points: DataFrame, significance: float = 0.001, random_axes: int = 0, trials: int = 10, k: int = 1, max_k: int | None = None, seed: int = 0, p_value=p_value_of) -> Model:
     """k-means whose cluster of the least p-value, along original, principal and random axes, is split while it is significant."""
     model = kmeans(points, k, seed)
     rng = np.random.default_rng(seed)
-    while model.k < max_k:
+    while max_k is None or model.k < max_k:
         labelled = model.predict(points)
         found = {}
         for c in range(model.k):
@@ -144,12 +144,6 @@ def skinny_dip(points: DataFrame, significance: float = 0.05, add_tails: bool =
     return labels.select(F.col("id").alias(id_col), "cluster")
 
 
-def angle(v: np.ndarray, w: np.ndarray) -> float:
-    """Degrees between two vectors, 0 if one has no length."""
-    size = np.linalg.norm(v) * np.linalg.norm(w)
-    return 0.0 if size == 0 else math.degrees(math.acos(min(1.0, max(-1.0, float(v @ w) / size))))
-
-
 def default_starts(dims: int) -> int:
     return int(math.log(dims)) + 1
 
@@ -168,7 +162,7 @@ def tie_ranges(projected: np.ndarray, triangle: tuple[int, int, int]) -> list[li
 
 
 def _dip_along(x: np.ndarray, axis: np.ndarray, ties: str, rng) -> tuple[float, np.ndarray]:
-    """Dip of a projection and its gradient; corners of equal value: as sorted, one drawn, or the steepest."""
+    """Dip of a projection and its gradient; corners of equal value: as sorted, one drawn, or of all choices the steepest gradient (one climb, not one for each choice)."""
     projected = x @ axis
     order = np.argsort(projected, kind="stable")
     found = dip_test(projected[order], True)
@@ -193,25 +187,32 @@ def _dip_along(x: np.ndarray, axis: np.ndarray, ties: str, rng) -> tuple[float,
     return found.value, best
 
 
-def _ascend(x: np.ndarray, axis: np.ndarray, step: float, momentum: float, slope) -> tuple[float, np.ndarray]:
-    """Follow a slope on the unit sphere with momentum until it rests or has turned once around; the best value and its axis."""
-    direction, turned_by = np.zeros_like(axis), 0.0
-    best, best_axis = -math.inf, axis
+def climb(axis: np.ndarray, slope, first: float = 0.5, rest: float = 1e-3, enough: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Value and axis of a local maximum on the unit sphere, by steepest ascent along great circles.
+
+    ``slope(axis)`` gives value and gradient.  A step turns by an angle, at first
+    ``first`` radians, in the gradient's tangential direction, and is halved until
+    the value rises by ``enough`` times what the gradient promises (Armijo); after
+    a step the next may be twice as long.  Ends where angles under ``rest`` do
+    not help.  The value never falls, so the last axis is the best.
+    """
+    value, g = slope(axis)
+    turn = first
     while True:
-        value, g = slope(axis)
-        if value > best:
-            best, best_axis = value, axis
-        direction = momentum * direction + step * g
-        after = axis + direction
-        size = np.linalg.norm(after)
-        if size == 0:
-            return best, best_axis
-        after = after / size
-        by = angle(axis, after)
-        turned_by += by
-        axis = after
-        if (by <= 0.1 and np.linalg.norm(direction) < 0.1) or turned_by > 360:
-            return best, best_axis
+        along = g - (g @ axis) * axis
+        steep = float(np.linalg.norm(along))
+        if steep == 0:
+            return value, axis
+        while turn >= rest:
+            tried = math.cos(turn) * axis + math.sin(turn) * along / steep
+            tried /= np.linalg.norm(tried)
+            after, after_g = slope(tried)
+            if after >= value + enough * turn * steep:
+                break
+            turn /= 2
+        else:
+            return value, axis
+        value, g, axis, turn = after, after_g, tried, min(2 * turn, first)
 
 
 @dataclass(frozen=True)
@@ -244,7 +245,7 @@ def _gathered(points: DataFrame, limit: int) -> np.ndarray:
     return np.array([r["features"] for r in rows], float)
 
 
-def dip_ext(points: DataFrame, components: int | None = None, scaling: bool = True, step: float = 0.1, momentum: float = 0.95, threshold: float = 0.5, starts: int | None = None, ties: str = "ignore", sample: int = 20_000, seed: int = 0) -> DipExtModel:
+def dip_ext(points: DataFrame, components: int | None = None, scaling: bool = True, threshold: float = 0.5, starts: int | None = None, ties: str = "ignore", sample: int = 20_000, seed: int = 0) -> DipExtModel:
     """Orthogonal axes along which the data are most multimodal.
 
     Each is found by gradient ascent of the dip from the best axes, in the space
@@ -260,7 +261,7 @@ def dip_ext(points: DataFrame, components: int | None = None, scaling: bool = Tr
         m = z.shape[1]
         own = [dip_test(z[:, j]).value for j in range(m)]
         tries = np.argsort(own)[::-1][: starts or default_starts(m)]
-        value, axis = max((_ascend(z, np.eye(m)[j], step, momentum, lambda v: _dip_along(z, v, ties, rng)) for j in tries), key=lambda f: f[0])
+        value, axis = max((climb(np.eye(m)[j], lambda v: _dip_along(z, v, ties, rng)) for j in tries), key=lambda f: f[0])
         if components is None and dips and value < threshold * max(dips):
             break
         axes.append(basis @ axis)
@@ -332,7 +333,7 @@ def _weighted_p(x: np.ndarray, labels: np.ndarray, axis: np.ndarray) -> tuple[fl
     return -total, -slope, each
 
 
-def dip_n_sub(points: DataFrame, significance: float = 0.01, threshold: float = 0.15, step: float = 0.1, momentum: float = 0.95, starts: int | None = None, add_tails: bool = True, outliers: bool = False, seed: int = 0) -> DipNSubModel:
+def dip_n_sub(points: DataFrame, significance: float = 0.01, threshold: float = 0.15, starts: int | None = None, add_tails: bool = True, outliers: bool = False, seed: int = 0) -> DipNSubModel:
     """Clusters and their subspace: axes of the least weighted p-value, each split by modal intervals, while enough points are in multimodal clusters.
 
     The search is sequential in axes and looks at all points of all clusters
@@ -348,7 +349,7 @@ def dip_n_sub(points: DataFrame, significance: float = 0.01, threshold: float =
         _, principal = np.linalg.eigh(np.cov(z.T).reshape(m, m))
         candidates = [*np.eye(m), *principal.T]
         ranked = sorted(candidates, key=lambda v: _weighted_p(z, labels, v)[0], reverse=True)[: starts or default_starts(m)]
-        _, axis = max((_ascend(z, v, step, momentum, lambda w: _weighted_p(z, labels, w)[:2]) for v in ranked), key=lambda f: f[0])
+        _, axis = max((climb(v, lambda w: _weighted_p(z, labels, w)[:2]) for v in ranked), key=lambda f: f[0])
         each = _weighted_p(z, labels, axis)[2]
         multimodal = [c for c, p in each.items() if p < significance]
         if axes and sum((labels == c).sum() for c in multimodal) < threshold * n:
