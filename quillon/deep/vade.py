@@ -38,6 +38,19 @@ class Prior:
     def members(self, z: np.ndarray) -> np.ndarray:
         return self.log_joint(z).softmax().data
 
+    def predict(self, points: DataFrame, name: str = "cluster", membership: str = "membership", embed=None) -> DataFrame:
+        """Points with their likeliest component and its membership, ``embed`` first where given."""
+
+        @F.pandas_udf("k int, p double")
+        def run(features: pd.Series) -> pd.DataFrame:
+            if not len(features):
+                return pd.DataFrame({"k": pd.Series(dtype="int32"), "p": pd.Series(dtype=float)})
+            z = np.stack(features)
+            m = self.members(z if embed is None else embed(z))
+            return pd.DataFrame({"k": m.argmax(1).astype("int32"), "p": m.max(1)})
+
+        return points.withColumn("_found", run("features")).withColumns({name: F.col("_found.k"), membership: F.col("_found.p")}).drop("_found")
+
 
 def evidence_loss(net: Autoencoder, prior: Prior, reconstruct: float = 1.0):
     """Negative evidence bound a point: squared error of the decoded draw, and the divergence of draw and membership from the prior."""
@@ -92,15 +105,8 @@ class VaDE:
     prior: Prior
     losses: tuple[float, ...]
 
-    def members(self, x: np.ndarray) -> np.ndarray:
-        return self.prior.members(self.net.embed(x))
-
-    def predict(self, points: DataFrame, name: str = "cluster") -> DataFrame:
-        @F.pandas_udf("int")
-        def run(features: pd.Series) -> pd.Series:
-            return pd.Series(self.members(np.stack(features)).argmax(1) if len(features) else [], dtype="int32")
-
-        return points.withColumn(name, run("features"))
+    def predict(self, points: DataFrame, name: str = "cluster", membership: str = "membership") -> DataFrame:
+        return self.prior.predict(points, name, membership, self.net.embed)
 
 
 def vade(points: DataFrame, k: int, layers, pretrain_epochs: int = 100, epochs: int = 150, variational_weight: float = 0.01, reconstruct: float = 1.0, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None) -> VaDE:

@@ -7,16 +7,18 @@ sums depend on their order.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import costs, dip
+from quillon.deep.vade import Prior
+from quillon.functions import costs, dip, gaussian
 from quillon.functions.unidip import unidip
 from quillon.operators import contingency as ct
 from quillon.operators import geometry as geo
-from quillon.operators import dctree, density, labelings, partition, spectral, subspace, trees
-from quillon.operators.preprocessing import ZNormalizer
+from quillon.operators import dctree, density, eigen, labelings, manifold, mixture, partition, spectral, subspace, trees
+from quillon.operators.preprocessing import ZNormalizer, flatten_images, unflatten_images
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -195,10 +197,12 @@ def core_distance(spark, sf_dir):
     return geo.core_distances(_points(spark, sf_dir), 5).select("i", _r(F.col("core"), "core"))
 
 
+#: The same pairs by DuckDB's own distance of lists, which is some seven times as fast.
+_FAST_PAIRS = _POINTS + ", q AS MATERIALIZED (SELECT x.id AS i, y.id AS j, list_distance(x.f, y.f) AS d FROM p x JOIN p y ON x.id <> y.id), k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM q)"
 _PAIRS_ONCE = _PAIRS.replace(", q AS (", ", q AS MATERIALIZED (").replace(", k AS (", ", k AS MATERIALIZED (")
 
 
-@query(f"WITH {_PAIRS_ONCE}, c AS MATERIALIZED (SELECT i, max(d) AS core FROM k WHERE rk <= 4 GROUP BY i) SELECT q.i, q.j, round(greatest(d, a.core, b.core), 6) AS reach FROM q JOIN c a ON a.i = q.i JOIN c b ON b.i = q.j WHERE q.i < q.j")
+@query(f"WITH {_FAST_PAIRS}, c AS MATERIALIZED (SELECT i, max(d) AS core FROM k WHERE rk <= 4 GROUP BY i) SELECT q.i, q.j, round(greatest(d, a.core, b.core), 6) AS reach FROM q JOIN c a ON a.i = q.i JOIN c b ON b.i = q.j WHERE q.i < q.j")
 def reachability_pairs(spark, sf_dir):
     return geo.reachability(_points(spark, sf_dir), 5).select("i", "j", _r(F.col("reach"), "reach"))
 
@@ -500,3 +504,138 @@ def sub_kmeans_embeddings(spark, sf_dir):
 def lda_kmeans_embeddings(spark, sf_dir):
     points = _points(spark, sf_dir)
     return subspace.lda_kmeans(points, 10, rounds=10).predict(points).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH d AS (SELECT lang, source, quality, toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), k AS (SELECT *, row_number() OVER (ORDER BY lang, source, quality, toxic) AS k FROM d), "
+    "p AS (SELECT (x.lang = y.lang OR x.source = y.source) AS t, (x.quality = y.quality OR x.toxic = y.toxic) AS p, CASE WHEN x.k = y.k THEN x.n*(x.n-1)/2 ELSE x.n*y.n END AS w FROM k x JOIN k y ON x.k <= y.k), "
+    "c AS (SELECT coalesce(sum(w) FILTER (t AND p), 0)::DOUBLE AS tp, coalesce(sum(w) FILTER (NOT t AND p), 0)::DOUBLE AS fp, coalesce(sum(w) FILTER (t AND NOT p), 0)::DOUBLE AS fn, coalesce(sum(w) FILTER (NOT t AND NOT p), 0)::DOUBLE AS tn FROM p) "
+    'SELECT round(tp / (tp + fp + fn), 6) AS jaccard, round((tp + tn) / (tp + fp + fn + tn), 6) AS rand, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c'
+)
+def multi_labeling_scores(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    both = docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    found = ct.multi_labeling_pair_scores(both, ["lang", "source"], ["quality", "toxic"])
+    return found.select(*[_r(F.col(c), c) for c in ("jaccard", "rand", "precision", "recall", "f1")])
+
+
+#: Diagonal Gaussians of the labels: share, means and population variances by dimension; and log of share times density of each point under each.
+_GAUSSIANS = (
+    _LONG + ", n AS (SELECT label AS c, count(*) AS n, ln(count(*) / (SELECT count(*) FROM p)::DOUBLE) AS w FROM p GROUP BY label), g AS (SELECT label AS c, dim, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY ALL), "
+    "j AS (SELECT l.id, g.c, any_value(w) - 0.5 * sum(ln(2 * pi() * v) + (x - m) ** 2 / v) AS j FROM l JOIN g USING (dim) JOIN n ON n.c = g.c GROUP BY l.id, g.c), t AS (SELECT id, max(j) AS top FROM j GROUP BY id), "
+    "s AS (SELECT id, any_value(top) + ln(sum(exp(j - top))) AS ll FROM j JOIN t USING (id) GROUP BY id)"
+)
+
+
+def _gaussians(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares, means and variances of the labels, in order."""
+    long = points.select("label", F.posexplode("features").alias("dim", "x")).groupBy("label", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    rows = sorted(tuple(r) for r in long.collect())  # labels times dimensions
+    labels, dims = len({r[0] for r in rows}), len({r[1] for r in rows})
+    n, m, v = (np.array([r[k] for r in rows], float).reshape(labels, dims) for k in (2, 3, 4))
+    return n[:, 0] / n[:, 0].sum(), m, v
+
+
+@query(f"WITH {_GAUSSIANS} SELECT id, round(ll, 6) AS log_likelihood FROM s")
+def mixture_log_likelihood_embeddings(spark, sf_dir):
+    """Log-likelihood of every point in the mixture of the labels' diagonal Gaussians."""
+    points = _points(spark, sf_dir)
+    shares, means, variances = _gaussians(points)
+    model = mixture.Mixture(shares, means, np.array([np.diag(v) for v in variances]))
+    return model.scored(points).select("id", _r(F.col("log_likelihood"), "log_likelihood"))
+
+
+@query(f"WITH {_GAUSSIANS}, q AS (SELECT id, arg_max(c, j) AS k, max(j) AS j FROM j GROUP BY id) SELECT label, k AS cluster, count(*) AS n, round(avg(exp(j - ll)), 6) AS membership FROM q JOIN s USING (id) JOIN p USING (id) GROUP BY ALL")
+def prior_memberships_embeddings(spark, sf_dir):
+    """Points by label and likeliest component of the labels' Gaussians as a variational autoencoder's prior, with their mean membership."""
+    points = _points(spark, sf_dir)
+    prior = Prior(*_gaussians(points))
+    names = F.array(*[F.lit(x) for x in sorted(r[0] for r in points.select("label").distinct().collect())])
+    found = prior.predict(points).groupBy("label", names[F.col("cluster")].alias("cluster"))
+    return found.agg(F.count("*").alias("n"), _r(F.avg("membership"), "membership"))
+
+
+@query("WITH v AS (SELECT s_suppkey, s_acctbal::DOUBLE AS x FROM supplier), g AS (SELECT x - lag(x) OVER (ORDER BY x, s_suppkey) AS w FROM v) SELECT round(w, 6) AS w, count(*) AS n FROM g WHERE w IS NOT NULL GROUP BY round(w, 6)")
+def spanning_tree_suppliers(spark, sf_dir):
+    """Edges by length of a minimum spanning tree of balances: on a line, the gaps between neighbours."""
+    return dctree.spanning_tree(_suppliers(spark, sf_dir)).groupBy(_r(F.col("w"), "w")).agg(F.count("*").alias("n"))
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal").cast("double")).alias("features"))
+
+
+@query(
+    "WITH v AS (SELECT s_suppkey, s_acctbal::DOUBLE AS x FROM supplier), g AS (SELECT *, coalesce(x - lag(x) OVER (ORDER BY x, s_suppkey), 0) AS w FROM v), c AS (SELECT *, row_number() OVER (ORDER BY w DESC, x) <= 9 AS ends FROM g), "
+    "k AS (SELECT x, sum(ends::INT) OVER (ORDER BY x, s_suppkey) AS k FROM c) SELECT min(x) AS low, max(x) AS high, count(*) AS n FROM k GROUP BY k"
+)
+def dc_tree_cut_suppliers(spark, sf_dir):
+    """Ten clusters of balances cut from the tree at its longest edges."""
+    points = _suppliers(spark, sf_dir)
+    tree = dctree.dc_tree(points, 1)
+    x = F.col("features")[0]
+    return dctree.with_labels(points, tree, tree.labels_for_k(10)).groupBy("cluster").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count("*").alias("n")).drop("cluster")
+
+
+@query(
+    f"WITH RECURSIVE {_FAST_PAIRS}, e AS (SELECT DISTINCT i, j, d FROM (SELECT i, j, d FROM k WHERE rk <= 8 UNION ALL SELECT j, i, d FROM k WHERE rk <= 8)), m AS (SELECT id FROM p ORDER BY id LIMIT 3), "
+    "r AS (SELECT 0 AS t, id, id AS mark, 0.0::DOUBLE AS d FROM m UNION ALL SELECT t, id, mark, min(d) AS d FROM (SELECT t + 1 AS t, e.j AS id, mark, r.d + e.d AS d FROM r JOIN e ON e.i = r.id WHERE t < 40 UNION ALL SELECT t + 1, id, mark, d FROM r WHERE t < 40) GROUP BY t, id, mark) "
+    "SELECT id, mark, round(d, 6) AS d FROM r WHERE t = 40"
+)
+def geodesics_embeddings(spark, sf_dir):
+    """Lengths of the shortest paths over the edges to 8 nearest neighbours from the three first points to all they reach."""
+    points = _points(spark, sf_dir)
+    near = geo.nearest(points, 8).select("i", "j", F.col("d").alias("w"))
+    edges = near.unionAll(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).distinct()
+    marks = [r["id"] for r in points.orderBy("id").limit(3).select("id").collect()]
+    found = manifold.geodesics(edges, points.select("id"), marks).select("id", F.posexplode("g").alias("k", "d"))
+    return found.where("d < double('infinity')").select("id", F.array(*[F.lit(x) for x in marks])[F.col("k")].cast("long").alias("mark"), _r(F.col("d"), "d"))
+
+
+@query(f"WITH {_CELLS} SELECT 1.0::DOUBLE AS largest, round(sum(n.n * n.n / (a * b)::DOUBLE), 6) AS total FROM n JOIN r ON r.t = n.t JOIN k ON k.p = n.p")
+def association_spectrum_lang_source(spark, sf_dir):
+    """Largest, and half the sum of squares, of the eigenvalues of the graph of languages and sources, normalised by degrees: 1, and the squared association plus 1."""
+    cells = _cells(spark, sf_dir).select("true", "pred", "n")
+    n = lambda c: F.sum("n").over(Window.partitionBy(c))
+    w = cells.select(F.concat(F.lit("t"), "true").alias("i"), F.concat(F.lit("p"), "pred").alias("j"), (F.col("n") / F.sqrt(n("true") * n("pred"))).alias("w"))
+    values, _ = eigen.leading(w.unionAll(w.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), 1 << 20)
+    return spark.createDataFrame([(round(float(values.max()), 6), round(float((values**2).sum()) / 2, 6))], "largest double, total double")
+
+
+@query(
+    "WITH v AS (SELECT l_returnflag AS label, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem), s AS (SELECT label, count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM v GROUP BY label) "
+    "SELECT label, round(n / (2 * ln(2)) * (2 * (1 + ln(2 * pi())) + ln(a * b - c * c)) / 1e3, 3) AS full_kilobits, round(n / (2 * ln(2)) * (2 * (1 + ln(2 * pi())) + ln(a) + ln(b)) / 1e3, 3) AS diag_kilobits, "
+    "round(n * 2 / (2 * ln(2)) * (1 + ln(2 * pi()) - ln(2 * n) + ln(n * (a + b))) / 1e3, 3) AS spherical_kilobits FROM s"
+)
+def gaussian_costs_by_flag(spark, sf_dir):
+    """Kilobits of quantity and price of each return flag as one Gaussian of full, diagonal or spherical covariance."""
+    x, y = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    by = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"), F.var_pop(x).alias("a"), F.var_pop(y).alias("b"), F.covar_pop(x, y).alias("c"))
+    rows = []
+    for label, n, a, b, c in by.collect():  # labels
+        scatter = n * np.array([[a, c], [c, b]])
+        rows.append((label, *[round(gaussian.gaussian_costs(2, scatter, n, kind=kind) / 1e3, 3) for kind in ("full", "diag", "spherical")]))
+    return spark.createDataFrame(rows, "label string, full_kilobits double, diag_kilobits double, spherical_kilobits double")
+
+
+@query("WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, round(-log2(n / sum(n) OVER ()), 6) AS bits FROM n")
+def label_costs_lang(spark, sf_dir):
+    """Bits of a document's language by its share."""
+    by = _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return by.select("lang", _r(costs.probability(F.col("n") / F.sum("n").over(Window.partitionBy())), "bits"))
+
+
+@query(f"WITH {_POINTS}, r AS (SELECT id, unnest(range(8)) AS line, f FROM p) SELECT id, line::INT AS line, round(list_sum(f[line * 8 + 1 : line * 8 + 8]), 6) AS total, round(f[line * 8 + 1], 6) AS first FROM r")
+def image_lines_embeddings(spark, sf_dir):
+    """Embeddings as 8 x 8 images and back: sum and first value of each line."""
+    images = unflatten_images(_points(spark, sf_dir), (8, 8)).select("id", "image")
+    back = flatten_images(images, "HW").select("id", F.posexplode("image").alias("line", "own"), "features")
+    whole = F.aggregate(F.slice("features", F.col("line") * 8 + 1, F.lit(8)), F.lit(0.0), lambda a, x: a + x)
+    return back.select("id", F.col("line").cast("int").alias("line"), _r(whole, "total"), _r(F.col("own")[0], "first"))
+
+
+@query(f"WITH {_LONG}, v AS (SELECT dim, var_samp(x) AS v FROM l GROUP BY dim) SELECT round(sum(v), 6) AS total, count(*) AS axes FROM v")
+def principal_variance_embeddings(spark, sf_dir):
+    """Variance along all principal axes: that of all dimensions."""
+    _, axes, values = subspace.principal_axes(_points(spark, sf_dir))
+    return spark.createDataFrame([(round(float(values.sum()), 6), axes.shape[1])], "total double, axes long")
