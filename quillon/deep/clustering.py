@@ -22,6 +22,7 @@ from quillon.operators import density
 from quillon.operators.dctree import dc_tree
 from quillon.operators.mixture import Mixture, mixture
 from quillon.operators.partition import _nearest, kmeans
+from quillon.operators.subspace import best_nr_kmeans
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,27 @@ class DeepModel:
     losses: tuple[float, ...] = ()
     #: Weights of the subspaces in each embedded dimension, where there are several: rows are subspaces.
     weights: np.ndarray | None = None
+    #: Rotation in front of the weights, and clusters of each subspace.
+    turn: np.ndarray | None = None
+    sizes: tuple[int, ...] = ()
+
+    def space_labels(self, x: np.ndarray) -> np.ndarray:
+        """(points, subspaces): the nearest centre of each subspace under its weights."""
+        y, out, at = self.net.embed(x) @ self.turn, [], 0
+        for w, k in zip(self.weights, self.sizes):
+            root = np.sqrt(w)
+            out.append(_nearest(y * root, self.centres[at : at + k] @ self.turn * root))
+            at += k
+        return np.stack(out, axis=1)
+
+    def predict_spaces(self, points: DataFrame, name: str = "clusters") -> DataFrame:
+        """Points with the array of their labels in all subspaces."""
+
+        @F.pandas_udf("array<int>")
+        def run(features: pd.Series) -> pd.Series:
+            return pd.Series(list(self.space_labels(np.stack(features)).astype("int32")) if len(features) else [], dtype=object)
+
+        return points.withColumn(name, run("features"))
 
     def transform(self, points: DataFrame) -> DataFrame:
         return self.net.transform(points)
@@ -166,21 +188,94 @@ def dkm(points: DataFrame, k: int, layers, alphas=(1000.0,), weight: float = 1.0
     return DeepModel(net, centres, tuple(every))
 
 
-def acedec(points: DataFrame, k: int, layers, pretrain_epochs: int = 100, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None) -> DeepModel:
-    """One clustered and one shared space: a learned softmax deals the embedded dimensions among them, each with a k-means loss."""
-    return enrc(points, (k, 1), layers, pretrain_epochs, epochs, batch, rate, seed, net)
+def acedec(points: DataFrame, k: int, layers, **options) -> DeepModel:
+    """One clustered and one shared space, each with a k-means loss, among which learned weights deal the embedded dimensions."""
+    return enrc(points, (k, 1), layers, **options)
 
 
-def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None) -> DeepModel:
-    """Several clusterings in weighted parts of one embedding; centres of all spaces are stacked in ``centres``."""
-    net, _ = _start(points, max(n_clusters), layers, net, pretrain_epochs, batch, rate, seed)
-    embedded = net.transform(points)
-    d, sizes = layers[-1], list(n_clusters)
-    rng = np.random.default_rng(seed)
-    logits = np.where(rng.integers(0, len(sizes), d)[None] == np.arange(len(sizes))[:, None], 1.0, 0.0)
-    starts = [kmeans(embedded, k, seed + s).centres for s, k in enumerate(sizes)]
-    turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
-    first = {"logits": logits, "turn": turn} | {f"c{s}": c @ turn for s, c in enumerate(starts)}
+def space_costs(embedded: DataFrame, turn: np.ndarray, centres: list[np.ndarray], weights: np.ndarray) -> list[np.ndarray]:
+    """For each space (k, 1 + d): points of each cluster, and their squared residuals by rotated dimension; one pass.
+
+    A point belongs to the centre that is nearest under the space's weights.
+    """
+    d, ends = len(turn), np.cumsum([0, *[len(c) for c in centres]])
+
+    def add(frames):
+        total = np.zeros((ends[-1], 1 + d))
+        for frame in frames:
+            if len(frame):
+                y = np.stack(frame["features"]).astype(float) @ turn
+                for s, c in enumerate(centres):
+                    root = np.sqrt(weights[s])
+                    at = _nearest(y * root, c * root)
+                    np.add.at(total, ends[s] + at, np.concatenate([np.ones((len(y), 1)), (y - c[at]) ** 2], axis=1))
+        used = np.flatnonzero(total[:, 0])
+        if len(used):
+            yield pd.DataFrame({"k": used, "sums": list(total[used])})
+
+    out = np.zeros((ends[-1], 1 + d))
+    rows = embedded.select("features").mapInPandas(add, "k int, sums array<double>").select("k", F.posexplode("sums").alias("pos", "x"))
+    for r in rows.groupBy("k", "pos").agg(F.sum("x").alias("x")).collect():  # model-sized
+        out[r["k"], r["pos"]] = r["x"]
+    return [out[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def lost_centres_remade(centres: np.ndarray, costs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each centre without points takes half of the most costly cluster: both stand one deviation to either side of it, in its widest weighted dimension."""
+    centres, costs = centres.copy(), costs.copy()
+    for lost in np.flatnonzero(costs[:, 0] == 0):
+        weighted = costs[:, 1:] * weights
+        worst = int(weighted.sum(1).argmax())
+        if costs[worst, 0] < 2 or weighted[worst].sum() == 0:
+            break
+        step = np.zeros(centres.shape[1])
+        dim = int(weighted[worst].argmax())
+        step[dim] = math.sqrt(costs[worst, 1 + dim] / costs[worst, 0])
+        centres[lost], centres[worst] = centres[worst] + step, centres[worst] - step
+        costs[worst] /= 2
+        costs[lost] = costs[worst]
+    return centres
+
+
+def enrc_start(embedded: DataFrame, sizes, start: str = "nrkmeans", repeats: int = 10, seed: int = 0) -> dict[str, np.ndarray]:
+    """Rotation, logits of the weights and rotated centres from NrKmeans of the embedding, or drawn at random.
+
+    With NrKmeans the weight of a space in a dimension is in proportion to one
+    over the mean squared residual there, which is least for the sum of squared
+    weights times residuals.
+    """
+    d = embedded.select(F.max(F.size("features"))).first()[0]
+    if start == "random":
+        rng = np.random.default_rng(seed)
+        turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+        logits = np.where(rng.integers(0, len(sizes), d)[None] == np.arange(len(sizes))[:, None], 1.0, 0.0)
+        return {"logits": logits, "turn": turn} | {f"c{s}": kmeans(embedded, k, seed + s).centres @ turn for s, k in enumerate(sizes)}
+    if start != "nrkmeans":
+        raise ValueError("start is nrkmeans or random")
+    found = best_nr_kmeans(embedded, sizes, repeats, seed=seed)
+    own = np.array([[float(j in space.columns) for j in range(d)] for space in found.spaces])
+    centres = [space.centres @ found.rotation for space in found.spaces]
+    costs = space_costs(embedded, found.rotation, centres, np.maximum(own, 1e-9))
+    mean = np.array([c[:, 1:].sum(0) / max(c[:, 0].sum(), 1) for c in costs])
+    return {"logits": -np.log(np.maximum(mean, 1e-12)), "turn": found.rotation} | {f"c{s}": c for s, c in enumerate(centres)}
+
+
+def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None, start: str = "nrkmeans", start_repeats: int = 10, reinit_every: int = 1) -> DeepModel:
+    """Several clusterings in weighted parts of one embedding; centres of all spaces, largest first, are stacked in ``centres``.
+
+    ``start``, ``start_repeats``: see :func:`enrc_start`; one run of NrKmeans often
+    ends in a local optimum.  After every ``reinit_every`` epochs centres
+    without points are made anew from the most costly cluster of their space.
+    """
+    if net is None:
+        net, _ = pretrain(points, layers, pretrain_epochs, batch, rate, seed)
+    sizes = sorted(n_clusters, reverse=True)
+    first = enrc_start(net.transform(points), sizes, start, start_repeats, seed)
+    d = len(first["turn"])
+
+    def shares(logits: np.ndarray) -> np.ndarray:
+        e = np.exp(logits - logits.max(0))
+        return e / e.sum(0)
 
     def loss(x, p, rng):
         z = net.encode(Tensor(x), p)
@@ -197,9 +292,18 @@ def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epoc
             total = total + (diff * diff * w).sum(1).mean()
         return total
 
-    net, more, losses = _joint(points, net, first, loss, epochs, batch, rate, seed)
-    e = np.exp(more["logits"] - more["logits"].max(0))
-    return DeepModel(net, np.concatenate([more[f"c{s}"] for s in range(len(sizes))]) @ more["turn"].T, tuple(losses), e / e.sum(0))
+    done = [0]
+
+    def after(p):
+        done[0] += 1
+        if done[0] % reinit_every:
+            return {}
+        weights, centres = shares(p["logits"]), [p[f"c{s}"] for s in range(len(sizes))]
+        costs = space_costs(net.with_parameters(p).transform(points), p["turn"], centres, weights)
+        return {f"c{s}": lost_centres_remade(c, costs[s], weights[s]) for s, c in enumerate(centres)}
+
+    net, more, losses = _joint(points, net, first, loss, epochs, batch, rate, seed, after)
+    return DeepModel(net, np.concatenate([more[f"c{s}"] for s in range(len(sizes))]) @ more["turn"].T, tuple(losses), shares(more["logits"]), more["turn"], tuple(sizes))
 
 
 def shade(points: DataFrame, k: int, layers, min_points: int = 5, reconstruct: float = 1.0, epochs: int = 100, batch: int = 64, rate: float = 1e-3, seed: int = 0) -> DeepModel:

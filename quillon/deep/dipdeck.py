@@ -27,18 +27,23 @@ from quillon.operators.partition import _nearest, kmeans
 POINTS = 4096
 
 
-def dip_of_histogram(counts: np.ndarray, low: float, high: float) -> float:
-    """Dip of as many points as counted, POINTS at most, at even quantiles; points of a bin are spread over it evenly."""
+def histogram_dip(counts: np.ndarray, low: float, high: float) -> tuple[float, float, float]:
+    """Dip and modal interval of as many points as counted, POINTS at most, at even quantiles; points of a bin are spread over it evenly."""
     n = int(counts.sum())
     if n < 4 or high <= low:
-        return 0.0
+        return 0.0, low, high
     edges = np.linspace(low, high, len(counts) + 1)
     held = np.flatnonzero(counts)
     rank = (np.arange(min(n, POINTS)) + 0.5) / min(n, POINTS) * n
     before = np.concatenate([[0], np.cumsum(counts[held])])
     at = np.clip(np.searchsorted(before, rank, side="right") - 1, 0, len(held) - 1)
-    inside = (rank - before[at]) / counts[held][at]
-    return dip_test(edges[held[at]] + inside * (edges[1] - edges[0]), True).value
+    x = edges[held[at]] + (rank - before[at]) / counts[held][at] * (edges[1] - edges[0])
+    found = dip_test(x, True)
+    return found.value, float(x[found.interval[0]]), float(x[found.interval[1]])
+
+
+def dip_of_histogram(counts: np.ndarray, low: float, high: float) -> float:
+    return histogram_dip(counts, low, high)[0]
 
 
 def _summed(points: DataFrame, work, width: int) -> np.ndarray:
@@ -59,39 +64,37 @@ def _summed(points: DataFrame, work, width: int) -> np.ndarray:
     return out
 
 
-def dip_matrix(embedded: DataFrame, centres: np.ndarray, bins: int = 1024, factor: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """p-values (k, k) of each pair of clusters along the line through their centres, and the clusters' sizes.
+def pair_histograms(rows: DataFrame, axes: np.ndarray, pairs: list[tuple[int, int]], parted, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (pairs, 2) of each pair's projections, and counts (pairs, 2, bins) of its two clusters; two passes.
 
-    Of two clusters of unlike size the larger counts as ``factor`` times the
-    smaller at most: its points nearest to the other centre are taken, whole bins
-    of them.  A pair one of which is empty has p-value 0.
+    ``parted(x)`` gives points and cluster numbers of a block of features.
     """
-    k = len(centres)
-    pairs = list(itertools.combinations(range(k), 2))
-    axes = np.array([centres[b] - centres[a] for a, b in pairs]).reshape(len(pairs), -1)
-    of = [[p for p, pair in enumerate(pairs) if c in pair] for c in range(k)]
+    of: dict[int, list[int]] = {}
+    for p, pair in enumerate(pairs):
+        for c in pair:
+            of.setdefault(c, []).append(p)
 
     def ends(batches):
         low, high = np.full(len(pairs), np.inf), np.full(len(pairs), -np.inf)
         for batch in batches:
             if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                at = _nearest(x, centres)
-                for c in np.unique(at):
+                x, at = parted(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                for c in [c for c in np.unique(at) if c in of]:
                     z = x[at == c] @ axes[of[c]].T
                     low[of[c]], high[of[c]] = np.minimum(low[of[c]], z.min(0)), np.maximum(high[of[c]], z.max(0))
         used = np.flatnonzero(np.isfinite(low))
         if len(used):
             yield pa.RecordBatch.from_pydict({"pos": pa.array(used, pa.int64()), "low": pa.array(low[used]), "high": pa.array(high[used])})
 
-    features = embedded.select(F.col("features").cast("array<double>").alias("features"))
+    features = rows.select(F.col("features").cast("array<double>").alias("features"))
     span = np.tile([0.0, 1.0], (len(pairs), 1))
     for r in features.mapInArrow(ends, "pos long, low double, high double").groupBy("pos").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         span[r["pos"]] = r["low"], r["high"]
 
-    def count(x):
-        out, at = np.zeros((len(pairs), 2, bins)), _nearest(x, centres)
-        for c in np.unique(at):
+    def count(block):
+        out = np.zeros((len(pairs), 2, bins))
+        x, at = parted(block)
+        for c in [c for c in np.unique(at) if c in of]:
             z = x[at == c] @ axes[of[c]].T
             for q, p in enumerate(of[c]):
                 low, high = span[p]
@@ -99,7 +102,20 @@ def dip_matrix(embedded: DataFrame, centres: np.ndarray, bins: int = 1024, facto
                 out[p, int(c == pairs[p][1])] += np.bincount(bin_of, minlength=bins)
         return out.ravel()
 
-    counts = _summed(embedded, count, len(pairs) * 2 * bins).reshape(len(pairs), 2, bins)
+    return span, _summed(rows, count, len(pairs) * 2 * bins).reshape(len(pairs), 2, bins)
+
+
+def dip_matrix(embedded: DataFrame, centres: np.ndarray, bins: int = 1024, factor: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """p-values (k, k) of each pair of clusters along the line through their centres, and the clusters' sizes.
+
+    Of two clusters of unlike size the larger counts as ``factor`` times the
+    smaller at most: its points nearest to the other centre are taken, whole bins
+    of them.  A pair one of which is empty has p-value 0.
+    """
+    k = len(centres)
+    pairs = list(itertools.combinations(range(k), 2))
+    axes = np.array([centres[b] - centres[a] for a, b in pairs]).reshape(len(pairs), -1)
+    span, counts = pair_histograms(embedded, axes, pairs, lambda x: (x, _nearest(x, centres)), bins)
     sizes = np.zeros(k)
     out = np.eye(k)
     for p, (a, b) in enumerate(pairs):
