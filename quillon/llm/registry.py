@@ -96,6 +96,27 @@ ORACLE_SQL: dict[str, str] = {
         f"sum(length(r || x) + 2 * length(r || x) - length(replace(replace(r || x, '<', ''), '>', '')) - length(replace(r || x, chr(92), '')) + {len(OPEN + HEAD_END + CLOSE)}) AS chars FROM o GROUP BY conv_id) "
         "SELECT conv_id, n AS n_turns, sha256(lines) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g"
     ),
+    "op13_structure_repair": (
+        f"WITH RECURSIVE {_CRC}, o AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), "
+        f"g AS (SELECT *, {_CRC_OF.format('key')} % 20 AS g FROM o, steps), "
+        "d AS (SELECT c, turn, CASE WHEN g = 4 THEN 'user' ELSE r END AS r, CASE WHEN g = 1 THEN '' WHEN g = 2 THEN translate(x, '.!?', '') ELSE x END AS x, unnest(range(CASE WHEN g = 3 THEN 2 ELSE 1 END)) AS copy FROM g WHERE g <> 0), "
+        "n AS (SELECT c, turn, r, x, rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, x) AS p FROM d), "
+        "f AS (SELECT *, substr(r, 1, 1) AS i, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, r, x ORDER BY p) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, "
+        "lag(substr(r, 1, 1)) OVER (PARTITION BY c ORDER BY p) || substr(r, 1, 1) AS two FROM n), "
+        "given(s, t, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')), kept(s, i, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)), "
+        "ins AS (SELECT s, s AS t, 0 AS cost, '' AS e, '' AS said FROM given UNION ALL SELECT s, t, 3, 'I', chr(10) || role || ':' FROM given UNION ALL SELECT a.s, b.t, 6, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':' FROM given a JOIN given b ON b.s = a.t), "
+        "edit AS (SELECT c, p, s, s AS t, 4 AS cost, 'D' AS e, '' AS said FROM f, (SELECT s FROM given) UNION ALL SELECT c, p, s, t, 3 + 3 * (fault = 'truncated')::INT, 'R', chr(10) || role || ':' || x FROM f, given WHERE fault NOT IN ('blank', 'duplicate') "
+        "UNION ALL SELECT c, p, s, t, 3 * (fault = 'truncated')::INT, 'K', chr(10) || r || ':' || x FROM f JOIN kept USING (i) WHERE fault NOT IN ('blank', 'duplicate')), "
+        "step AS (SELECT c, p, ins.s, edit.t, ins.cost + edit.cost AS cost, ins.e || edit.e AS e, ins.said || edit.said AS said FROM ins JOIN edit ON edit.s = ins.t), "
+        "dp AS (SELECT DISTINCT c, 0::BIGINT AS p, 0 AS s, 0 AS cost, '' AS e, '' AS said FROM f UNION ALL SELECT c, p, t, min(cost) AS cost, arg_min(e, (cost, e)) AS e, arg_min(said, (cost, e)) AS said "
+        "FROM (SELECT dp.c, step.p, step.t, dp.cost + step.cost AS cost, dp.e || step.e AS e, dp.said || step.said AS said FROM dp JOIN step ON step.c IS NOT DISTINCT FROM dp.c AND step.p = dp.p + 1 AND step.s = dp.s) GROUP BY c, p, t), "
+        "most AS (SELECT c, max(p) AS p, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, "
+        "coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY c), "
+        "tail(s, cost, e, said) AS (VALUES (0, 0, '', ''), (3, 0, '', ''), (2, 3, 'I', chr(10) || 'assistant:'), (1, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')), "
+        "best AS (SELECT dp.c, min(dp.cost + tail.cost) AS cost, arg_min(dp.e || tail.e, (dp.cost + tail.cost, dp.e || tail.e)) AS e, arg_min(dp.said || tail.said, (dp.cost + tail.cost, dp.e || tail.e)) AS said FROM dp JOIN most ON most.c IS NOT DISTINCT FROM dp.c AND most.p = dp.p JOIN tail ON tail.s = dp.s GROUP BY dp.c) "
+        "SELECT a.c AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(e, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256 "
+        "FROM (SELECT DISTINCT c FROM o) a LEFT JOIN most ON most.c IS NOT DISTINCT FROM a.c LEFT JOIN best ON best.c IS NOT DISTINCT FROM a.c"
+    ),
     "url_host_path_rule": (
         "WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages), "
         f"h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r), u AS (SELECT page_id, translate(raw, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h), "
