@@ -12,6 +12,7 @@ same batches.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -153,7 +154,10 @@ def epoch(points: DataFrame, start: Parameters, loss: Callable, batch: int = 256
         frame = pd.concat(held, ignore_index=True)
         x = np.stack(frame["features"]).astype(float)
         more = np.stack(frame[extra]).astype(float) if extra else None
-        rng = np.random.default_rng([seed, len(x), int(abs(x[0].sum()) * 1e6) % (1 << 31)])
+        # in an order of their own, so that a task run again, whose rows come as they like, draws the same batches
+        order = np.lexsort(x.T)
+        x, more = x[order], None if more is None else more[order]
+        rng = np.random.default_rng([seed, len(x), zlib.crc32(x[0].tobytes())])
         own, total = adam_steps(x, start, loss, batch, rate, rng, fixed, more)
         flat = np.concatenate([_packed(own) * len(x), [total, len(x)]])
         for k in range(0, len(flat), PIECE):
