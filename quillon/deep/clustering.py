@@ -253,8 +253,11 @@ def enrc_start(embedded: DataFrame, sizes, start: str = "nrkmeans", repeats: int
     if start != "nrkmeans":
         raise ValueError("start is nrkmeans or random")
     found = best_nr_kmeans(embedded, sizes, repeats, seed=seed)
-    own = np.array([[float(j in space.columns) for j in range(d)] for space in found.spaces])
+    own = np.zeros((len(sizes), d))  # a space that lost all its dimensions starts from k-means
+    for s, space in enumerate(found.spaces):
+        own[s, list(space.columns)] = 1.0
     centres = [space.centres @ found.rotation for space in found.spaces]
+    centres += [kmeans(embedded, k, seed + s).centres @ found.rotation for s, k in enumerate(sizes) if s >= len(found.spaces)]
     costs = space_costs(embedded, found.rotation, centres, np.maximum(own, 1e-9))
     mean = np.array([c[:, 1:].sum(0) / max(c[:, 0].sum(), 1) for c in costs])
     return {"logits": -np.log(np.maximum(mean, 1e-12)), "turn": found.rotation} | {f"c{s}": c for s, c in enumerate(centres)}
@@ -303,7 +306,7 @@ def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epoc
         return {f"c{s}": lost_centres_remade(c, costs[s], weights[s]) for s, c in enumerate(centres)}
 
     net, more, losses = _joint(points, net, first, loss, epochs, batch, rate, seed, after)
-    return DeepModel(net, np.concatenate([more[f"c{s}"] for s in range(len(sizes))]) @ more["turn"].T, tuple(losses), shares(more["logits"]), more["turn"], tuple(sizes))
+    return DeepModel(net, np.concatenate([more[f"c{s}"] for s in range(len(sizes))]) @ more["turn"].T, tuple(losses), shares(more["logits"]), more["turn"], tuple(len(more[f"c{s}"]) for s in range(len(sizes))))
 
 
 def shade(points: DataFrame, k: int, layers, min_points: int = 5, reconstruct: float = 1.0, epochs: int = 100, batch: int = 64, rate: float = 1e-3, seed: int = 0) -> DeepModel:
