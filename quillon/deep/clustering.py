@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.deep.augment import changes
 from quillon.deep.autograd import Tensor, squared_distances
-from quillon.deep.networks import Autoencoder, epoch, pretrain
+from quillon.deep.networks import Autoencoder, epoch, paired_epoch, pretrain
 from quillon.operators import density
 from quillon.operators.dctree import dc_tree
 from quillon.operators.mixture import Mixture, mixture
@@ -89,34 +90,58 @@ def _reconstruction(net: Autoencoder, x: np.ndarray, z: Tensor, p) -> Tensor:
     return (diff * diff).sum(1).mean()
 
 
-def _joint(points: DataFrame, net: Autoencoder, more: dict[str, np.ndarray], loss: Callable, epochs: int, batch: int, rate: float, seed: int, after: Callable | None = None) -> tuple[Autoencoder, dict[str, np.ndarray], list[float]]:
-    """Train network and further parameters together; ``after(parameters)`` may change the latter between epochs."""
+def _joint(points: DataFrame, net: Autoencoder, more: dict[str, np.ndarray], loss: Callable, epochs: int, batch: int, rate: float, seed: int, after: Callable | None = None, augment: Callable | None = None) -> tuple[Autoencoder, dict[str, np.ndarray], list[float]]:
+    """Train network and further parameters together; ``after(parameters)`` may change the latter between epochs.
+
+    With ``augment`` the loss takes augmented rows, drawn anew for each epoch,
+    beside the rows.
+    """
     p, losses = {**net.parameters, **more}, []
     for e in range(epochs):
-        p, value = epoch(points, p, loss, batch, rate, seed + e)
+        p, value = paired_epoch(points, p, loss, batch, rate, seed + e, augment)
         losses.append(value)
         if after is not None:
             p = {**p, **after(p)}
     return net.with_parameters(p), {k: p[k] for k in more}, losses
 
 
-def _start(points: DataFrame, k: int, layers, net: Autoencoder | None, epochs: int, batch: int, rate: float, seed: int) -> tuple[Autoencoder, np.ndarray]:
+def _start(points: DataFrame, k: int, layers, net: Autoencoder | None, epochs: int, batch: int, rate: float, seed: int, augment: Callable | None = None) -> tuple[Autoencoder, np.ndarray]:
+    if augment is not None and not changes(points, augment, seed):
+        raise ValueError("the augmentation changes no row")
     if net is None:
-        net, _ = pretrain(points, layers, epochs, batch, rate, seed)
+        net, _ = pretrain(points, layers, epochs, batch, rate, seed, augment=augment)
     return net, kmeans(net.transform(points), k, seed).centres
 
 
-def dec(points: DataFrame, k: int, layers, alpha: float = 1.0, reconstruct: float = 0.0, pretrain_epochs: int = 100, epochs: int = 150, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None) -> DeepModel:
-    """Memberships drawn towards their own sharpened version; ``reconstruct`` > 0 keeps the reconstruction beside it (IDEC)."""
-    net, centres = _start(points, k, layers, net, pretrain_epochs, batch, rate, seed)
+def dec_loss(net: Autoencoder, alpha: float = 1.0, reconstruct: float = 0.0):
+    """Cross entropy of memberships and their sharpened version, which augmented rows, if any, share."""
 
-    def loss(x, p, rng):
-        z = net.encode(Tensor(x), p)
-        q = soft_assignment(squared_distances(z, p["centres"]), alpha)
-        out = cross_entropy(q, target_distribution(q.data))
-        return out + _reconstruction(net, x, z, p) * reconstruct if reconstruct else out
+    def loss(x, p, rng, other=None):
+        want, parts = None, []
+        for rows in (x,) if other is None else (x, other):
+            z = net.encode(Tensor(rows), p)
+            q = soft_assignment(squared_distances(z, p["centres"]), alpha)
+            want = target_distribution(q.data) if want is None else want
+            out = cross_entropy(q, want)
+            parts.append(out + _reconstruction(net, rows, z, p) * reconstruct if reconstruct else out)
+        return _mean(parts)
+
+    return loss
 
-    net, more, losses = _joint(points, net, {"centres": centres}, loss, epochs, batch, rate, seed)
+
+def _mean(parts: list[Tensor]) -> Tensor:
+    return parts[0] if len(parts) == 1 else (parts[0] + parts[1]) * 0.5
+
+
+def dec(points: DataFrame, k: int, layers, alpha: float = 1.0, reconstruct: float = 0.0, pretrain_epochs: int = 100, epochs: int = 150, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None, augment: Callable | None = None) -> DeepModel:
+    """Memberships drawn towards their own sharpened version; ``reconstruct`` > 0 keeps the reconstruction beside it (IDEC).
+
+    ``augment``: see :mod:`quillon.deep.augment`; memberships of augmented rows are
+    drawn towards those of the rows they come from, half the loss is theirs.
+    """
+    net, centres = _start(points, k, layers, net, pretrain_epochs, batch, rate, seed, augment)
+    loss = dec_loss(net, alpha, reconstruct)
+    net, more, losses = _joint(points, net, {"centres": centres}, loss, epochs, batch, rate, seed, augment=augment)
     return DeepModel(net, more["centres"], tuple(losses))
 
 
@@ -144,17 +169,31 @@ def _means(points: DataFrame, net: Autoencoder, p: dict, centres: np.ndarray) ->
     return np.where(out[:, :1] > 0, out[:, 1:] / np.maximum(out[:, :1], 1), centres)
 
 
-def dcn(points: DataFrame, k: int, layers, weight: float = 0.05, reconstruct: float = 1.0, pretrain_epochs: int = 100, epochs: int = 50, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None) -> DeepModel:
-    """Embeddings drawn to their nearest centre; centres move to the means of their points after each epoch."""
-    net, centres = _start(points, k, layers, net, pretrain_epochs, batch, rate, seed)
+def dcn_loss(net: Autoencoder, weight: float, reconstruct: float):
+    """Reconstruction, and squared distances to the nearest centre; augmented rows, if any, keep the centre of theirs."""
 
-    def loss(x, p, rng):
-        z = net.encode(Tensor(x), p)
-        c = p["centres"].data
-        diff = z - c[_nearest(z.data, c)]
-        return _reconstruction(net, x, z, p) * reconstruct + (diff * diff).sum(1).mean() * (weight / 2)
+    def loss(x, p, rng, other=None):
+        c, at, parts = p["centres"].data, None, []
+        for rows in (x,) if other is None else (x, other):
+            z = net.encode(Tensor(rows), p)
+            at = _nearest(z.data, c) if at is None else at
+            diff = z - c[at]
+            parts.append(_reconstruction(net, rows, z, p) * reconstruct + (diff * diff).sum(1).mean() * (weight / 2))
+        return _mean(parts)
+
+    return loss
+
+
+def dcn(points: DataFrame, k: int, layers, weight: float = 0.05, reconstruct: float = 1.0, pretrain_epochs: int = 100, epochs: int = 50, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None, augment: Callable | None = None) -> DeepModel:
+    """Embeddings drawn to their nearest centre; centres move to the means of their points after each epoch.
 
-    net, more, losses = _joint(points, net, {"centres": centres}, loss, epochs, batch, rate, seed, lambda p: {"centres": _means(points, net, p, p["centres"])})
+    With ``augment`` augmented rows are drawn to the centre of the row they come
+    from; the means are those of the points alone.
+    """
+    net, centres = _start(points, k, layers, net, pretrain_epochs, batch, rate, seed, augment)
+    loss = dcn_loss(net, weight, reconstruct)
+
+    net, more, losses = _joint(points, net, {"centres": centres}, loss, epochs, batch, rate, seed, lambda p: {"centres": _means(points, net, p, p["centres"])}, augment)
     return DeepModel(net, more["centres"], tuple(losses))
 
 
@@ -263,15 +302,18 @@ def enrc_start(embedded: DataFrame, sizes, start: str = "nrkmeans", repeats: int
     return {"logits": -np.log(np.maximum(mean, 1e-12)), "turn": found.rotation} | {f"c{s}": c for s, c in enumerate(centres)}
 
 
-def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None, start: str = "nrkmeans", start_repeats: int = 10, reinit_every: int = 1) -> DeepModel:
+def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, net: Autoencoder | None = None, start: str = "nrkmeans", start_repeats: int = 10, reinit_every: int = 1, augment: Callable | None = None) -> DeepModel:
     """Several clusterings in weighted parts of one embedding; centres of all spaces, largest first, are stacked in ``centres``.
 
     ``start``, ``start_repeats``: see :func:`enrc_start`; one run of NrKmeans often
     ends in a local optimum.  After every ``reinit_every`` epochs centres
     without points are made anew from the most costly cluster of their space.
+    With ``augment`` augmented rows keep the centres of the rows they come from.
     """
+    if augment is not None and not changes(points, augment, seed):
+        raise ValueError("the augmentation changes no row")
     if net is None:
-        net, _ = pretrain(points, layers, pretrain_epochs, batch, rate, seed)
+        net, _ = pretrain(points, layers, pretrain_epochs, batch, rate, seed, augment=augment)
     sizes = sorted(n_clusters, reverse=True)
     first = enrc_start(net.transform(points), sizes, start, start_repeats, seed)
     d = len(first["turn"])
@@ -280,20 +322,22 @@ def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epoc
         e = np.exp(logits - logits.max(0))
         return e / e.sum(0)
 
-    def loss(x, p, rng):
-        z = net.encode(Tensor(x), p)
-        y = z @ p["turn"]
-        beta = p["logits"].softmax(0)
-        total = _reconstruction(net, x, z, p)
+    def loss(x, p, rng, other=None):
+        beta, at, parts = p["logits"].softmax(0), {}, []
+        for rows in (x,) if other is None else (x, other):
+            z = net.encode(Tensor(rows), p)
+            y = z @ p["turn"]
+            total = _reconstruction(net, rows, z, p)
+            for s in range(len(sizes)):
+                w = beta[s : s + 1]
+                centres = p[f"c{s}"]
+                if s not in at:
+                    at[s] = _nearest(y.data * w.data**0.5, centres.data * w.data**0.5)
+                diff = y - centres[at[s]]
+                total = total + (diff * diff * w).sum(1).mean()
+            parts.append(total)
         off = p["turn"] @ p["turn"].T - np.eye(d)
-        total = total + (off * off).sum()
-        for s in range(len(sizes)):
-            w = beta[s : s + 1]
-            centres = p[f"c{s}"]
-            at = _nearest(y.data * w.data**0.5, centres.data * w.data**0.5)
-            diff = y - centres[at]
-            total = total + (diff * diff * w).sum(1).mean()
-        return total
+        return _mean(parts) + (off * off).sum()
 
     done = [0]
 
@@ -305,7 +349,7 @@ def enrc(points: DataFrame, n_clusters, layers, pretrain_epochs: int = 100, epoc
         costs = space_costs(net.with_parameters(p).transform(points), p["turn"], centres, weights)
         return {f"c{s}": lost_centres_remade(c, costs[s], weights[s]) for s, c in enumerate(centres)}
 
-    net, more, losses = _joint(points, net, first, loss, epochs, batch, rate, seed, after)
+    net, more, losses = _joint(points, net, first, loss, epochs, batch, rate, seed, after, augment)
     return DeepModel(net, np.concatenate([more[f"c{s}"] for s in range(len(sizes))]) @ more["turn"].T, tuple(losses), shares(more["logits"]), more["turn"], tuple(len(more[f"c{s}"]) for s in range(len(sizes))))
 
 

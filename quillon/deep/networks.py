@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.deep.augment import OTHER, with_augmented
 from quillon.deep.autograd import Tensor
 
 Parameters = dict[str, np.ndarray]
@@ -86,7 +87,9 @@ class Autoencoder:
 def reconstruction(net: Autoencoder):
     """Loss of an autoencoder: squared error summed over features, mean over points."""
 
-    def loss(x: np.ndarray, p: dict[str, Tensor], rng) -> Tensor:
+    def loss(x: np.ndarray, p: dict[str, Tensor], rng, other: np.ndarray | None = None) -> Tensor:
+        if other is not None:
+            return (loss(x, p, rng) + loss(other, p, rng)) * 0.5
         diff = net.decode(net.encode(Tensor(x), p), p) - x
         return (diff * diff).sum(1).mean()
 
@@ -174,12 +177,21 @@ def epoch(points: DataFrame, start: Parameters, loss: Callable, batch: int = 256
     return _unpacked(flat[:-2] / flat[-1], start), float(flat[-2] / flat[-1])
 
 
-def pretrain(points: DataFrame, layers, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, variational_weight: float | None = None) -> tuple[Autoencoder, list[float]]:
-    """A trained autoencoder and the mean loss of each epoch."""
+def paired_epoch(points: DataFrame, start: Parameters, loss: Callable, batch: int, rate: float, seed: int, augment: Callable | None) -> tuple[Parameters, float]:
+    """An epoch whose loss takes, with ``augment``, augmented rows drawn for this seed beside the rows."""
+    if augment is None:
+        return epoch(points, start, loss, batch, rate, seed)
+    return epoch(with_augmented(points, augment, seed), start, loss, batch, rate, seed, extra=OTHER)
+
+
+def pretrain(points: DataFrame, layers, epochs: int = 100, batch: int = 256, rate: float = 1e-3, seed: int = 0, variational_weight: float | None = None, augment: Callable | None = None) -> tuple[Autoencoder, list[float]]:
+    """A trained autoencoder and the mean loss of each epoch; with ``augment`` (see :mod:`quillon.deep.augment`) augmented rows are reconstructed beside the others."""
+    if augment is not None and variational_weight is not None:
+        raise ValueError("no augmentation of a variational autoencoder")
     net = Autoencoder.create(layers, seed, variational_weight is not None)
     loss = reconstruction(net) if variational_weight is None else variational(net, variational_weight)
     losses, p = [], net.parameters
     for e in range(epochs):
-        p, value = epoch(points, p, loss, batch, rate, seed + e)
+        p, value = paired_epoch(points, p, loss, batch, rate, seed + e, augment)
         losses.append(value)
     return net.with_parameters(p), losses
