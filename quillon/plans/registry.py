@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.deep.augment import OTHER, Noise, with_augmented
 from quillon.deep.vade import Prior
 from quillon.functions import costs, dip, gaussian
 from quillon.functions.unidip import unidip
 from quillon.operators import contingency as ct
 from quillon.operators import geometry as geo
-from quillon.operators import dctree, density, eigen, labelings, manifold, mixture, partition, spectral, subspace, trees
-from quillon.operators.preprocessing import ZNormalizer, flatten_images, unflatten_images
+from quillon.operators import dctree, density, eigen, labelings, manifold, mixture, partition, sparse, spectral, subspace, trees
+from quillon.operators.preprocessing import STOP_WORDS, ZNormalizer, flatten_images, term_counts, unflatten_images
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -639,3 +640,53 @@ def principal_variance_embeddings(spark, sf_dir):
     """Variance along all principal axes: that of all dimensions."""
     _, axes, values = subspace.principal_axes(_points(spark, sf_dir))
     return spark.createDataFrame([(round(float(values.sum()), 6), axes.shape[1])], "total double, axes long")
+
+
+#: Number k of row ``id`` in SQL: a third of its 192 draws for each part of the noise.
+_DRAW = "('0x' || substr(md5(id || ':5:' || ((dim - 1 + {0}) // 4)), (dim - 1 + {0}) % 4 * 8 + 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    f"WITH {_LONG}, u AS (SELECT id, dim, x, {_DRAW.format(0)} AS a, {_DRAW.format(64)} AS b, {_DRAW.format(128)} AS c FROM l) "
+    "SELECT id, sum((c < 0.2)::INT)::BIGINT AS dropped, round(sum(CASE WHEN c < 0.2 THEN 0 ELSE x + 0.1 * sqrt(-2 * ln(1 - a)) * cos(2 * pi() * b) END), 6) AS total FROM u GROUP BY id"
+)
+def augmented_embeddings(spark, sf_dir):
+    """Embeddings with noise, a fifth of their features dropped: what each row draws from its id."""
+    pairs = with_augmented(_points(spark, sf_dir), Noise(64, 0.1, 0.2), 5, F.col("id"))
+    zeros = F.size(F.filter(OTHER, lambda x: x == 0)).cast("long")
+    return pairs.select("id", zeros.alias("dropped"), _r(F.aggregate(OTHER, F.lit(0.0), lambda a, x: a + x), "total"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TERMS = (
+    "w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents), "
+    f"c AS (SELECT id, term, count(*) AS n FROM w WHERE term NOT IN ({_STOP}) GROUP BY ALL), m AS (SELECT count(*) AS m FROM documents), "
+    "s AS (SELECT term, sum(n)::BIGINT AS total, round(sum(n * n) / m - (sum(n) / m) ** 2, 6) AS variance FROM c, m GROUP BY term, m ORDER BY sum(n) DESC, term LIMIT 500)"
+)
+
+
+def _term_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs, term_counts(docs, stemming=False).withColumnsRenamed({"term": "feature", "tf": "value"})
+
+
+@query(f"WITH {_TERMS} SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS place, total, variance FROM s")
+def sparse_leading_terms(spark, sf_dir):
+    """The 500 most frequent terms of documents, their counts' variance and their places among the features."""
+    docs, cells = _term_cells(spark, sf_dir)
+    found = sparse.select_features(cells, 500, docs.count())
+    return found.select(F.col("feature").alias("term"), F.col("at").alias("place"), F.col("total").cast("long").alias("total"), _r(F.col("variance"), "variance"))
+
+
+@query(
+    f"WITH {_TERMS}, p AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM s), k AS (SELECT id, sum(n)::DOUBLE AS total, count(*)::BIGINT AS used, sum(n * place)::DOUBLE AS weighted FROM c JOIN p USING (term) GROUP BY id) "
+    "SELECT doc_id AS id, coalesce(total, 0) AS total, coalesce(used, 0) AS used, coalesce(weighted, 0) AS weighted FROM documents LEFT JOIN k ON k.id = doc_id"
+)
+def sparse_term_rows(spark, sf_dir):
+    """Documents as rows of the 500 most frequent terms: their sum, the terms used, the sum weighted by place."""
+    docs, cells = _term_cells(spark, sf_dir)
+    selected = sparse.select_features(cells, 500, docs.count())
+    rows = sparse.dense(docs.select("id"), cells, selected, selected.count())
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    used = F.size(F.filter("features", lambda x: x != 0)).cast("long")
+    return rows.select("id", add("features").alias("total"), used.alias("used"), add(F.transform("features", lambda x, k: x * k)).alias("weighted"))
