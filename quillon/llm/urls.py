@@ -9,7 +9,8 @@ numbers) travel with the task.  Blocks of URLs are hashed and scored in numpy.
 
 from __future__ import annotations
 
-import zlib
+import random
+import string
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ FEATURES = 1 << 14
 ORDERS = (3, 4, 5)
 #: Most labelled URLs used for training; URLs that are scored together.
 MAX_LABELLED, BLOCK = 10_000, 512
-STEPS, RATE, DECAY = 300, 20.0, 1e-4
+STEPS, RATE, DECAY = 1000, 20.0, 1e-4
 
 #: (host, path, verdict)
 RULES = (
@@ -46,32 +47,49 @@ ORDINARY = (
     "journal", "books", "nature", "photo", "theatre", "local", "shop", "team", "river", "market",
     "station", "bakery", "hotel", "clinic", "council", "print", "studio", "radio", "train", "bridge",
 )
+#: What stands around topics in hosts and paths of pages to block and of ordinary ones.
+LURES = ("best", "buy", "cheap", "free", "top", "hot", "fast", "instant", "vip", "mega", "super", "real", "24", "365", "4u", "247", "deals", "online", "now", "club", "offers", "promo")
+LURE_PATHS = ("buy-now", "go", "out", "aff", "promo", "landing", "signup-bonus", "order", "offer", "exit", "redirect", "deal")
+CALM = ("city", "old", "north", "south", "green", "saint", "royal", "state", "county", "open", "village", "public", "first", "lake", "hill", "west", "friends-of", "society", "house", "group", "home", "guide")
+CALM_PATHS = ("about", "contact", "events", "article", "archive", "help", "people", "visit", "reports", "issues", "staff", "calendar")
 #: Parts that occur with either label, so that they tell nothing.
 _FRONTS, _ENDS, _TONGUES = ("", "www.", "m.", "blog."), ("com", "org", "net"), ("en", "de", "fr", "es")
-_PATHS = ("/{t}/{n}", "/{t}/{n}/", "/{t}/{n}.html", "/{t}/{n}?page=2&ref=x", "/{t}/{n}#top", "/{t}/{w}/{n}", "/{w}", "/")
-_SYLLABLES = ("an", "ber", "ca", "den", "er", "fo", "gra", "hel", "ing", "jo", "ka", "lin", "mor", "ne", "on", "pra", "re", "sti", "the", "un", "tha", "ble", "ent", "or", "ion", "ed")
+_PATHS = ("/{t}/{n}", "/{t}/{n}/", "/{t}/{n}.html", "/{t}/{n}?page=2&ref=x", "/{t}/{n}#top", "/{t}/{w}/{n}", "/{p}/{w}", "/{p}/{n}", "/{p}", "/")
+#: Onsets, vowels and ends of syllables of invented words.
+_ONSETS, _VOWELS, _CODAS = "b c d f g h j k l m n p r s t v w z bl br ch cl dr fl gr pl pr sh sl st th tr".split(), "a e i o u ai ea ou".split(), ["", "", "", "n", "r", "s", "t", "l", "nd", "st"]
 
 
-def labelled_urls(copies: int = 6) -> list[tuple[str, str]]:
-    """The small labelled table (url, verdict), made by a rule: topics and plain syllables in hosts of all shapes.
+def invented(rng: random.Random) -> str:
+    """A word that means nothing: two or three syllables, or four to ten letters of any kind."""
+    if rng.random() < 0.4:
+        return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(4, 10)))
+    return "".join(rng.choice(_ONSETS) + rng.choice(_VOWELS) + rng.choice(_CODAS) for _ in range(rng.choice((2, 2, 3))))
 
-    Hosts of one topic, of two, and, for ordinary pages, of invented words
-    stand before paths of all shapes; fronts, ends, languages and paths are
-    dealt alike to both verdicts.
+
+def labelled_urls(copies: int = 16, blocked=BLOCKED, ordinary=ORDINARY) -> list[tuple[str, str]]:
+    """The small labelled table (url, verdict), made by a rule from topics and what commonly stands around them.
+
+    A host is a topic, two, or a topic with one or two words of its verdict's
+    kind before or behind it; pages to block join them by hyphens more often.
+    Two in three ordinary hosts are invented words, so that what the model has
+    never seen is allowed.  Fronts, ends, languages and numbers are dealt alike.
     """
     rows = []
-    for verdict, topics in (("block", BLOCKED), ("allow", ORDINARY)):
-        for a, topic in enumerate(topics):
+    for verdict, topics, around, paths, hyphens in (("block", blocked, LURES, LURE_PATHS, 0.7), ("allow", ordinary, CALM, CALM_PATHS, 0.3)):
+        for topic in topics:
             for c in range(copies):
-                draw = zlib.crc32(f"{verdict}{topic}{c}".encode())
-                pick = lambda of, k: of[draw // 7**k % len(of)]  # noqa: E731, B023
-                other = topics[(a * 7 + c * 11 + 3) % len(topics)]
-                names = [f"{topic}-{other}", topic, f"{topic}{other}"]
-                if verdict == "allow":
-                    names += ["".join(pick(_SYLLABLES, k) for k in range(1, 4)), pick(_SYLLABLES, 5) * 2 + pick(_SYLLABLES, 6), pick(_SYLLABLES, 7) + pick(_SYLLABLES, 9)]
-                for k, name in enumerate(names):
-                    path = pick(_PATHS, k + 2).format(t=pick(_TONGUES, k), n=draw % 9973, w=topic)
-                    rows.append((f"https://{pick(_FRONTS, k + 1)}{name}.example.{pick(_ENDS, k + 3)}{path}", verdict))
+                rng = random.Random(f"{verdict} {topic} {c}")
+                parts = [topic]
+                if verdict == "allow" and c % 3:
+                    parts = [invented(rng) for _ in range(rng.choice((1, 1, 2)))]
+                elif rng.random() < 0.15:
+                    parts.append(rng.choice(topics))
+                elif rng.random() < 0.9:
+                    parts += rng.sample(around, rng.choice((1, 2)))
+                rng.shuffle(parts)
+                name = ("-" if rng.random() < hyphens else "").join(parts)
+                path = rng.choice(_PATHS).format(t=rng.choice(_TONGUES), n=rng.randrange(1000), w=topic if topic in parts else invented(rng), p=rng.choice(paths))
+                rows.append((f"https://{rng.choice(_FRONTS)}{name}.example.{rng.choice(_ENDS)}{path}", verdict))
     return rows
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from quillon.llm import language
 from quillon.llm.language import identify, normalise, op6_language_id, score, slot_counts, train
-from quillon.llm.urls import FEATURES, LABELLED, RULES, filter_urls, op7_url_filter, probabilities, split_url, train as train_urls
+from quillon.llm.urls import BLOCKED, FEATURES, LABELLED, MAX_LABELLED, ORDINARY, RULES, filter_urls, labelled_urls, op7_url_filter, probabilities, split_url, train as train_urls
 
 MASK = (1 << 64) - 1
 
@@ -141,17 +141,33 @@ def test_whole_query_equals_a_plain_one(spark):
     assert FEATURES == 1 << 14
 
 
-def test_held_out_urls_and_edges(spark):
-    held = [r for r in LABELLED if zlib.crc32(r[0].encode()) % 4 == 0]
-    w = train_urls([r for r in LABELLED if zlib.crc32(r[0].encode()) % 4])
-    p = probabilities(w, [split_url(u) for u, _ in held])
-    right = [(x >= 0.5) == (v == "block") for x, (_, v) in zip(p, held)]
-    assert len(held) > 200 and sum(right) / len(right) >= 0.95
-    junk = ["casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x"]
-    w = train_urls(LABELLED)
-    assert (probabilities(w, [(f"{f}{j}.example.{e}", "/en/17.html") for j in junk for f in ("", "www.", "m.", "blog.") for e in ("org", "net")]) >= 0.5).mean() > 0.9
-    plain = ["tionble", "ththon", "therer", "ththre", "thering", "thonth"]
-    assert (probabilities(w, [(f"{f}{j}.example.{e}", "/en/17.html") for j in plain for f in ("", "www.", "m.", "blog.") for e in ("org", "net")]) < 0.5).all()
+def recall_and_precision(weights, rows):
+    hit = [x >= 0.5 for x in probabilities(weights, [split_url(u) for u, _ in rows])]
+    both = sum(h and v == "block" for h, (_, v) in zip(hit, rows))
+    return both / sum(v == "block" for _, v in rows), both / max(1, sum(hit))
+
+
+#: Topics of neither list, looked at only here: the table's rule was chosen by folds of its own topics.
+FRESH_BLOCKED = ("roulette", "baccarat", "steroids", "counterfeit", "bingo", "ransom", "hoax", "webcam", "miracle", "clickbait", "forex", "smut")
+FRESH_ORDINARY = ("orchard", "chapel", "harbor", "poetry", "parish", "ferry", "chess", "bicycle", "geology", "knitting", "theology", "aquarium")
+
+
+def test_topics_that_were_never_trained(spark):
+    for fold in range(4):
+        own = lambda topics, inside: [t for k, t in enumerate(topics) if (k % 4 == fold) == inside]  # noqa: E731, B023
+        w = train_urls(labelled_urls(blocked=own(BLOCKED, False), ordinary=own(ORDINARY, False)))
+        recall, precision = recall_and_precision(w, labelled_urls(blocked=own(BLOCKED, True), ordinary=own(ORDINARY, True)))
+        print("fold", fold, recall, precision)
+        assert recall >= 0.5 and precision >= 0.95, (fold, recall, precision)
+    recall, precision = recall_and_precision(train_urls(LABELLED), labelled_urls(blocked=FRESH_BLOCKED, ordinary=FRESH_ORDINARY))
+    print("fresh topics", recall, precision)
+    assert recall >= 0.5 and precision >= 0.95
+
+
+def test_labelled_table_and_edges(spark):
+    assert LABELLED == tuple(labelled_urls()) and len(LABELLED) == 16 * (len(BLOCKED) + len(ORDINARY)) <= MAX_LABELLED
+    recall, precision = recall_and_precision(train_urls(LABELLED), LABELLED)
+    assert recall > 0.95 and precision > 0.95
     pages = spark.createDataFrame([(1, None), (1, "http://q.org/" + "a" * 50000), (2, "http://" + "a." * 50000 + "net/es/"), (None, "x")], "page_id long, url string").selectExpr("*", "1 as host", "2 as rule")
     got = filter_urls(pages).collect()
     assert len(got) == 4 and [r["verdict"] for r in got if r["page_id"] == 2] == ["block"]
