@@ -198,10 +198,11 @@ def learn(seen: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPOR
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, hash, base, added) of every row: arrays of struct<kind,start,end>.
+    """(id, hash, base, added, discovered) of every row: arrays of struct<kind,start,end>, and a number.
 
     ``hash`` is that of the text; null texts count as empty.  Added spans are
-    never part of a base span.  Repeated rows give equal rows; null ids are kept; a
+    never part of a base span.  ``discovered`` counts those of them that no seed
+    pattern matches: what only their context gives away.  Repeated rows give equal rows; null ids are kept; a
     table without seeds learns nothing and adds nothing; other columns are not
     read.
     """
@@ -212,14 +213,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     new = (
         rows.where("kind is null or kind = 'secret'")
         .where(~F.exists("base", lambda b: (b["start"] <= F.col("start")) & (b["end"] >= F.col("end"))))
-        .select("id", "hash", "start", "end", F.explode("contexts").alias("context"))
+        .select("id", "hash", "start", "end", F.col("kind").isNull().alias("unseen"), F.explode("contexts").alias("context"))
         .join(good, "context")
         .groupBy("id", "hash")
-        .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
+        .agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"), F.size(F.collect_set(F.when(F.col("unseen"), F.struct("kind", "start", "end")))).alias("discovered"))
         .withColumnsRenamed({"id": "of_id", "hash": "of_hash"})
     )
     joined = own.join(new, (own["hash"] == new["of_hash"]) & own["id"].eqNullSafe(new["of_id"]), "left")
-    return joined.select("id", "hash", "base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")).alias("added"))
+    return joined.select("id", "hash", "base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")).alias("added"), F.coalesce("discovered", F.lit(0)).alias("discovered"))
 
 
 def _joined(spans: Column) -> Column:
@@ -253,7 +254,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op1_pii(spark, sf_dir) -> DataFrame:
-    """Base spans as counts and digest, and all spans; ``n_added`` counts the spans that the method adds."""
+    """Base spans as counts and digest, and all spans; ``n_added`` counts the spans that the method adds, ``n_discovered`` those that match no seed pattern."""
     found = find(table(spark, sf_dir, "documents"))
     of = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind)
     every = F.concat(*[F.array_sort(F.concat(of("base", k), of("added", k))) for k in ADDED])
@@ -263,4 +264,5 @@ def op1_pii(spark, sf_dir) -> DataFrame:
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.col("discovered").cast("long").alias("n_discovered"),
     )

@@ -112,6 +112,42 @@ def test_brackets_after_words_and_secrets(spark):
     assert all(said[200 + k] == [("secret", hashlib.sha1(str(k).encode()).hexdigest())] for k in range(8))
 
 
+def test_planted_identifiers_in_the_small_table(spark):
+    """Identifiers that no seed pattern matches, planted into whole documents beside seeds of the same contexts and beside decoys."""
+    rng = random.Random(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows, planted = [], {}
+    for doc_id, text in docs:
+        # a context is trusted if four in five of its occurrences are seeds
+        text, k = text or "", doc_id % 18
+        said = {
+            **dict.fromkeys((0, 1, 4, 5, 6, 7), f"call me at +1 (743) 555-{rng.randint(1000, 9999)}"),
+            **dict.fromkeys((8, 9, 10, 11, 12, 13), f"reach us by mail {rng.choice('abcdefgh')}{doc_id}@mail.example.org"),
+            2: f"call me at (743) 555-{rng.randint(1000, 9999)}",
+            3: f"reach us by mail {rng.choice('abcdefgh')}{doc_id}@intranet",
+            14: f"in lot {rng.randint(10000, 99999)} of goods",
+            15: f"see page {rng.randint(1000, 9999)} for more",
+        }.get(k)
+        if said is None or text.count(" ") < 2:
+            rows.append((doc_id, text))
+            continue
+        at = [m.start() for m in re.finditer(" ", text)]
+        a = rng.choice(at)
+        rows.append((doc_id, f"{text[:a]} {said} today{text[a:]}"))
+        if k in (2, 3):
+            value = said.split("at ", 1)[1] if k == 2 else said.rsplit(" ", 1)[1]
+            start = a + 1 + len(said) - len(value)
+            planted[doc_id] = ("phone" if k == 2 else "email", start, start + len(value))
+    found = find(frame(spark, rows)).collect()
+    seen = {(r["id"], s["kind"], s["start"], s["end"]) for r in found for s in r["added"] if s["kind"] != "secret"}
+    want = {(i, *v) for i, v in planted.items()}
+    assert len(want) > 90
+    recall, precision = len(seen & want) / len(want), len(seen & want) / max(1, len(seen))
+    print("planted", len(want), "recall", recall, "precision", precision)
+    assert recall >= 0.95 and precision >= 0.95
+    assert sum(r["discovered"] for r in found) >= len(seen)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     rows = [(1, None), (2, ""), (2, "é a@b.co 😀 1.2.3.4"), (2, "é a@b.co 😀 1.2.3.4"), (None, "+1 (743) 555-3824!"), (3, "none")]
     docs = frame(spark, rows)
