@@ -22,10 +22,11 @@ def radius_graph(points: DataFrame, neighbours: int = 10, share: float = 0.99, i
     radius = reach.agg(F.percentile("d", share)).first()[0]
 
     def work(a, b, d, same):
-        i, j = np.nonzero((d <= radius) & (a["id"][:, None] != b["id"][None, :]))
+        d, inside = geo.within(a["f"], b["f"], radius)
+        i, j = np.nonzero(inside & (a["id"][:, None] != b["id"][None, :]))
         return pd.DataFrame({"i": a["id"][i], "j": b["id"][j], "w": d[i, j]})
 
-    return geo.per_tile(geo.tiles(points, id_col, features), work, f"i {kind}, j {kind}, w double")
+    return geo.per_tile(geo.tiles(points, id_col, features), work, f"i {kind}, j {kind}, w double", None)
 
 
 def normalised_graph(points: DataFrame, neighbours: int = 10, id_col: str = "id", features: str = "features") -> DataFrame:
