@@ -114,14 +114,19 @@ def stem(word: Column) -> Column:
     return out
 
 
-def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, stop_words: bool = True) -> DataFrame:
-    """(id, term, tf) of words of two letters or digits and more, in any script; counted within each text before any shuffle."""
+def terms_of(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, stop_words: bool = True) -> DataFrame:
+    """(id, term) of each word of two letters or digits and more, in any script."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
     if stemming:
         words = F.transform(words, stem)
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term"))
+
+
+def term_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", stemming: bool = True, stop_words: bool = True) -> DataFrame:
+    """(id, term, tf) of words of two letters or digits and more, in any script; counted within each text before any shuffle."""
+    rows = terms_of(docs, id_col, text_col, stemming, stop_words)
     return rows.groupBy("id", "term").agg(F.count("*").alias("tf")).withColumnRenamed("id", id_col)
 
 
