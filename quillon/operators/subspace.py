@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.gaussian import bic_costs, common_costs, generalised_eigen, integer_costs, is_orthogonal, probability_costs
 from quillon.operators import geometry as geo
-from quillon.operators.partition import _nearest, _seed, kmeans, scatter
+from quillon.operators.partition import _nearest, _seed, held as kept_for_passes, kmeans, scatter
 from quillon.sources.synthetic import rotation as random_rotation
 
 THRESHOLD = -1e-7
@@ -365,7 +365,8 @@ def lda_kmeans(points: DataFrame, k: int = 8, dims: int | None = None, rounds: i
         axes = np.linalg.eigh(total)[1][:, ::-1][:, :dims]
         before = None
         for _ in range(rounds):
-            own = kmeans(turned(points, axes), k, seed + r)
+            with kept_for_passes(turned(points, axes)) as along:  # each round of k-means reads them
+                own = kmeans(along, k, seed + r)
             # labels as a space of the whole data: nearest centres along the axes
             q, _ = np.linalg.qr(np.concatenate([axes, np.eye(d)], axis=1))
             space = Space(tuple(range(dims)), own.centres @ np.linalg.pinv(axes))
