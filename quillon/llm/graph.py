@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from quillon.llm.common import reliable
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether links (u, v) are stars: no target is itself a source, and nothing has two targets."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(links.select(F.col("v").alias("node"), F.lit(0), F.lit(1)))
+    at = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not at.where("out > 1 or (out = 1 and into = 1)").limit(1).count()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
@@ -15,10 +22,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     small-star contractions (Kiveris et al., 2014): every node links to the
     smallest of its neighbours, until the links form stars.  A round costs two
     shuffles of the remaining edges and is checkpointed; the number of rounds
-    grows with the logarithm of the longest path.  Returns (node, component).
+    grows with the logarithm of the longest path, and is none where the edges
+    are stars around smallest nodes.  Returns (node, component).
     """
-    links = reliable(edges.select("u", "v").where("u <> v").distinct())
+    links = reliable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
+        if _settled(links):
+            break
         both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -30,13 +40,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = reliable(small)
-        # stars: no target is itself a source, and nothing has two targets
-        open_ends = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        doubled = 0 if open_ends else after.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        links = after
-        if not open_ends and not doubled:
-            break
+        links = reliable(small)
     else:
         raise RuntimeError("components did not settle; raise rounds")
     own = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -73,3 +73,42 @@ def test_one_row_stays_of_repeated_ids(spark):
     kept = jaccard.one_per_similar(docs)
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect()) == [(0, "alone in the world of ids"), (1, "a b c d"), (1, "other words are here now"), (3, None)]
+
+
+def test_stage_links_by_simhash_first(spark, monkeypatch):
+    """Without the prefix join the stage finds what SimHash finds within three bits, less what is not similar; groups known from it are not paired again."""
+    from quillon.llm.simhash import simhash_bytes
+
+    refrain, tail = "over and over the same nine words come again ", lambda k: " ".join(f"t{k}{j}" for j in range(12))
+    rows = near_copies(7)
+    rows += [(len(rows) + k, refrain * 60 + tail(k)) for k in range(2)]
+    sims = [simhash_bytes(t.encode(), 5) for _, t in rows]
+    assert (sims[-1] ^ sims[-2]).bit_count() <= 3 and len(brute(rows[-2:])) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, seen = jaccard._candidates, []
+
+    def none(dealt, similarity):
+        return whole(dealt, similarity).where("false")
+
+    monkeypatch.setattr(jaccard, "_candidates", none)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    parent = {k: k for k, _ in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, (a, s) in enumerate(rows):
+        for b, t in rows[:i]:
+            if s.lower().split() == t.lower().split() or (sims[a] ^ sims[b]).bit_count() <= 3 and len(brute([(a, s), (b, t)])) == 1:
+                a_, b_ = sorted((root(a), root(b)))
+                parent[b_] = a_
+    assert kept == {root(k) for k, _ in rows} and len(brute(rows)) < len(kept) < len({" ".join(t.lower().split()) for _, t in rows})
+
+    monkeypatch.setattr(jaccard, "_candidates", whole)
+    likely = jaccard._likely
+    monkeypatch.setattr(jaccard, "_likely", lambda pairs, *more: seen.append({frozenset((r["u"], r["v"])) for r in pairs.collect()}) or likely(pairs, *more))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == brute(rows)
+    sequence = {k: int(jaccard._sequences([t.encode()])[0]) for k, t in rows}
+    assert not any(frozenset((sequence[k], sequence[root(k)])) in pairs for pairs in seen for k in parent if sequence[k] != sequence[root(k)])
