@@ -78,3 +78,28 @@ def test_mirroring_keeps_ranks_inside():
         x = np.sort(rng.normal(size=rng.integers(5, 60)))
         value, (a, b) = Sample(x, 0.05).mirrored(0, len(x))
         assert 0 <= a < b <= len(x) and 0 <= value <= 0.25
+
+
+def test_counted_values_give_the_dip_and_clusters_of_the_whole_sample():
+    """Equal values as one run: the same dip, modal interval and clusters, in the memory of the distinct values."""
+    import tracemalloc
+
+    from quillon.functions.dip import dip_of_runs, dip_test, runs
+    from quillon.functions.unidip import counted_intervals
+
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        n = int(rng.integers(1, 120))
+        x = np.sort(np.round(np.where(rng.random(n) < 0.5, rng.normal(size=n), rng.normal(4, 0.5, size=n)), int(rng.integers(0, 3))))
+        found = dip_test(x, True)
+        assert dip_of_runs(*runs(*np.unique(x, return_counts=True))) == (found.value, found.interval)
+    for decimals in (0, 1, 2, 9):
+        x = np.sort(np.round(np.concatenate([rng.normal(c, 0.4, 300) for c in (0, 5, 9)] + [rng.uniform(-3, 12, 200)]), decimals))
+        whole = [(x[a], x[b - 1], b - a) for a, b in unidip(x)[1]]
+        assert counted_intervals(*np.unique(x, return_counts=True)) == whole and whole
+    assert len(unidip([0.0] * 500 + [1.0] * 500)[1]) == 1  # its modal interval is the whole range
+    values, counts = np.arange(1000) / 10, np.full(1000, 100_000)
+    tracemalloc.start()
+    assert counted_intervals(values, counts)
+    assert tracemalloc.get_traced_memory()[1] < 5e6
+    tracemalloc.stop()
