@@ -55,19 +55,36 @@ def held(points: DataFrame):
         kept.unpersist()
 
 
+@contextmanager
+def counted(points: DataFrame):
+    """Distinct points (features, weight), kept for the passes of a fit; equal points are one row with their number."""
+    rows = points.select(F.col("features").cast("array<double>").alias("features")).groupBy("features").agg(F.count("*").alias("weight"))
+    kept = rows.persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (((centres**2).sum(1) - 2 * x @ centres.T)).argmin(1)
 
 
 def _moments(points: DataFrame, centres: np.ndarray, children: np.ndarray | None = None):
-    """n (k, 2), sums and sums of squares (k, 2, d) of residuals to centres or, given them, to each centre's two children."""
+    """n (k, 2), sums and sums of squares (k, 2, d) of residuals to centres or, given them, to each centre's two children.
+
+    A column ``weight``, where there is one, tells how often a point counts.
+    """
     k, d = centres.shape
+    weighted = "weight" in points.columns
 
     def add(batches):
         total = np.zeros((k * 2, 1 + 2 * d))
         for batch in batches:
             points_of = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
-            for x in np.array_split(points_of, len(points_of) * k // CELLS + 1):
+            weights = batch.column("weight").to_numpy(zero_copy_only=False).astype(float) if weighted else np.ones(len(points_of))
+            parts = len(points_of) * k // CELLS + 1
+            for x, w in zip(np.array_split(points_of, parts), np.array_split(weights, parts)):
                 at = _nearest(x, centres) * 2
                 base = centres[at // 2]
                 if children is not None:
@@ -76,15 +93,15 @@ def _moments(points: DataFrame, centres: np.ndarray, children: np.ndarray | None
                     at = at + (((x - middle[at // 2]) * apart[at // 2]).sum(1) > 0)
                     base = children.reshape(-1, d)[at]
                 r = x - base
-                total[:, 0] += np.bincount(at, minlength=2 * k)
+                total[:, 0] += np.bincount(at, w, 2 * k)
                 for j in range(d):
-                    total[:, 1 + j] += np.bincount(at, r[:, j], 2 * k)
-                    total[:, 1 + d + j] += np.bincount(at, r[:, j] ** 2, 2 * k)
+                    total[:, 1 + j] += np.bincount(at, r[:, j] * w, 2 * k)
+                    total[:, 1 + d + j] += np.bincount(at, r[:, j] ** 2 * w, 2 * k)
         used = np.flatnonzero(total[:, 0])
         if len(used):
             yield pa.RecordBatch.from_pydict({"at": pa.array(used, pa.int32()), "sums": pa.array(list(total[used]), pa.list_(pa.float64()))})
 
-    rows = points.select(F.col("features").cast("array<double>").alias("features")).mapInArrow(add, "at int, sums array<double>")
+    rows = points.select(F.col("features").cast("array<double>").alias("features"), *(["weight"] if weighted else [])).mapInArrow(add, "at int, sums array<double>")
     rows = rows.select("at", F.posexplode("sums").alias("pos", "x")).groupBy("at", "pos").agg(F.sum("x").alias("x"))
     out = np.zeros((k * 2, 1 + 2 * d))
     for row in rows.collect():  # 2k(2d + 1) numbers at most
@@ -252,9 +269,10 @@ def log_normal_cdf(z: np.ndarray) -> np.ndarray:
 
 
 def anderson_darling(values: DataFrame) -> DataFrame:
-    """(group, n, a2) of (group, x): the statistic for normality of unknown mean and variance, corrected for n.
+    """(group, n, a2) of (group, x) or (group, x, weight): the statistic for normality of unknown mean and variance, corrected for n.
 
-    Ranks come from those within narrow bands of z and the bands' running
+    A row of weight w stands for w equal values, whose ranks add up in one term
+    each way.  Ranks come from those within narrow bands of z and the bands' running
     counts, so no task sorts a whole group.  A group of one value has a2 null.
     """
 
@@ -262,14 +280,22 @@ def anderson_darling(values: DataFrame) -> DataFrame:
     def log_cdf(z: pd.Series) -> pd.Series:
         return pd.Series(log_normal_cdf(z.to_numpy(float)))
 
-    moments = values.groupBy("group").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    if "weight" not in values.columns:
+        values = values.withColumn("weight", F.lit(1).cast("long"))
+    values = values.where("x is not null")
+    means = values.groupBy("group").agg(F.sum("weight").alias("n"), (F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("m"))
+    spread = F.sum(F.col("weight") * (F.col("x") - F.col("m")) ** 2)
+    moments = values.join(F.broadcast(means), "group").groupBy("group").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.when(F.first("n") > 1, F.sqrt(spread / F.greatest(F.first("n") - 1, F.lit(1)))).alias("s"))
     z = values.join(F.broadcast(moments), "group").where("s > 0").withColumn("z", (F.col("x") - F.col("m")) / F.col("s"))
     z = z.withColumn("band", F.greatest(F.lit(-4096), F.least(F.lit(4096), F.floor(F.col("z") * 256))))
-    bands = z.groupBy("group", "band").agg(F.count("*").alias("c"))
+    bands = z.groupBy("group", "band").agg(F.sum("weight").alias("c"))
     before = bands.withColumn("before", F.sum("c").over(Window.partitionBy("group").orderBy("band")) - F.col("c")).drop("c")
-    ranked = z.withColumn("i", F.row_number().over(Window.partitionBy("group", "band").orderBy("z"))).join(before, ["group", "band"])
-    i = F.col("i") + F.col("before")
-    term = (2 * i - 1) * log_cdf("z") + (2 * (F.col("n") - i) + 1) * log_cdf(-F.col("z"))
+    upto = Window.partitionBy("group", "band").orderBy("z").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = z.withColumn("i", F.sum("weight").over(upto)).join(before, ["group", "band"])
+    w = F.col("weight").cast("double")
+    under = F.col("i") + F.col("before") - w  # values that come first
+    # sums of 2 i - 1 and of 2 (n - i) + 1 over the ranks i of a row
+    term = w * (2 * under + w) * log_cdf("z") + w * (2 * (F.col("n") - under) - w) * log_cdf(-F.col("z"))
     a2 = ranked.groupBy("group").agg(F.first("n").alias("n"), F.sum(term).alias("t"))
     a2 = a2.select("group", ((-F.col("n") - F.col("t") / F.col("n")) * (1 + 0.75 / F.col("n") + 2.25 / F.col("n") ** 2)).alias("a2"))
     return moments.select("group", "n").join(a2, "group", "left")
@@ -292,7 +318,10 @@ def anderson_p_value(a2: float) -> float:
 
 
 def gmeans(points: DataFrame, k: int = 1, max_k: int | None = None, significance: float = 0.0001, seed: int = 0) -> Model:
-    """k-means whose clusters are split while their points, on the line through two children, are not normal."""
+    """k-means whose clusters are split while their points, on the line through two children, are not normal.
+
+    Equal points are counted once and then are one row, so that the rounds grow with the distinct points.
+    """
 
     def verdict(centres, children, n, sse, parent):
         axes = children[:, 1] - children[:, 0]
@@ -303,14 +332,14 @@ def gmeans(points: DataFrame, k: int = 1, max_k: int | None = None, significance
             at = _nearest(x, centres)
             return pd.DataFrame({"group": at.astype("int32"), "x": (x * axes[at]).sum(1)})
 
-        values = points.select(project("features").alias("p")).select("p.group", "p.x")
+        values = distinct.select(project("features").alias("p"), "weight").select("p.group", "p.x", "weight")
         marked = np.zeros(len(centres), bool)
         for row in anderson_darling(values).collect():  # k rows
             marked[row["group"]] = row["a2"] is not None and anderson_p_value(row["a2"]) < significance
         return marked
 
-    with held(points) as points:
-        return _grow(points, kmeans(points, k, seed), max_k, verdict)
+    with counted(points) as distinct:
+        return _grow(distinct, lloyd(distinct, _seed(points, k, seed)), max_k, verdict)
 
 
 def reference_points(points: DataFrame, b: int, seed: int = 0) -> DataFrame:

@@ -179,3 +179,20 @@ def test_partitions_without_rows(spark):
     assert partition.gmeans(points, 1).k >= 1 and partition.xmeans(points, 1).k >= 1
     n, mean, _ = partition.scatter(points)
     assert n == 10 and np.allclose(mean, np.mean([r[1] for r in rows], 0))
+
+
+def test_gmeans_counts_equal_points(spark):
+    """Weighted distinct points give the statistic and sums of all points, and the rounds read no more rows than these."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=400) + rng.choice([0, 6], 400), 1)
+    whole = spark.createDataFrame([(k % 2, float(v)) for k, v in enumerate(x)], "group int, x double")
+    weighted = whole.groupBy("group", "x").agg(F.count("*").alias("weight"))
+    one, other = ({r["group"]: (r["n"], r["a2"]) for r in partition.anderson_darling(t).collect()} for t in (whole, weighted))
+    assert one.keys() == other.keys() and all(one[g][0] == other[g][0] == 200 and abs(one[g][1] - other[g][1]) < 1e-8 for g in one)
+    grid = spark.range(6000).select("id", F.array((F.col("id") % 4 * 10 + F.col("id") % 3).cast("double"), (F.col("id") % 5).cast("double")).alias("features"))
+    with partition.counted(grid) as distinct:
+        assert distinct.count() == 60
+        for children in (None, np.array([[[0.0, 1.0], [9.0, 2.0]], [[20.0, 0.0], [31.0, 3.0]]])):
+            centres = np.array([[5.0, 2.0], [25.0, 2.0]])
+            for a, b in zip(partition._moments(grid, centres, children), partition._moments(distinct, centres, children)):
+                assert np.allclose(a, b, rtol=1e-12, atol=1e-9)
