@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in runs of about this many characters, so that the
 #: temporary arrays of a Python worker stay small whatever the batch size.
 BLOCK_CHARS = 1 << 18
+#: The JVM's command that gives free native memory back to the system.
+TRIM = "systemTrimNativeHeap"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +39,28 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of what nothing refers to any more.
+
+    Spark deletes shuffle files and checkpoints when the driver's JVM collects
+    the objects they belong to, which a driver with little to do puts off until
+    long after a phase is over; so it is asked to after each phase.  What the
+    JVM's compiler and the many short threads of adaptive plans have freed
+    stays with the C library's allocator, more with each phase and pass; where
+    the JVM has a command for it (glibc, JDK 17.0.9 on) this goes back too.
+    """
+    gc.collect()
+    context = spark.sparkContext
+    jvm = context._jvm
+    jvm.System.gc()
+    what = context._gateway.new_array(jvm.Object, 4)  # bean, command, no arguments, no signature
+    what[0], what[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), TRIM
+    # the server's own class is not open to callers, its interface is
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    with suppress(Py4JJavaError):  # a JVM without the command keeps it
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), what)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
