@@ -63,3 +63,14 @@ def test_tile_trees_are_the_forests_of_their_pairs(spark, monkeypatch):
         assert len({(min(a, b), max(a, b)) for a, b in zip(ids[u].tolist(), ids[v].tolist())} & want) > 50
     monkeypatch.setattr("quillon.operators.dctree.PRIM", 16)
     assert sorted(r["w"] for r in spanning_tree(table(spark, x), 4).collect()) == pytest.approx(sorted(tile_tree(x, core, ids)[2]))
+
+
+def test_features_of_single_precision_travel_as_they_are(spark):
+    """Half the bytes of a point in the tiles, and the distances that the doubles of the same numbers have."""
+    x = np.random.default_rng(2).normal(size=(30, 4)).astype(np.float32).astype(float)
+    doubles = table(spark, x)
+    singles = doubles.selectExpr("id", "cast(features as array<float>) as features", "label")
+    assert geo.tiles(singles, half=True).rows.schema["f"].dataType.simpleString() == "array<float>"
+    assert geo.tiles(doubles, half=True).rows.schema["f"].dataType.simpleString() == "array<double>"
+    want = {(r["i"], r["j"]): r["reach"] for r in geo.reachability(doubles, 4).collect()}
+    assert {(r["i"], r["j"]): r["reach"] for r in geo.reachability(singles, 4).collect()} == want and len(want) == 30 * 29 / 2
