@@ -15,11 +15,16 @@ from quillon.operators.lineage import cut
 from quillon.operators.partition import Model, _moments, kmeans
 
 
+def neighbourhood(points: DataFrame, neighbours: int, share: float, id_col: str = "id", features: str = "features") -> float:
+    """The distance that ``share`` of the points reach their k-th neighbour at."""
+    reach = geo.nearest(points, neighbours, id_col, features).groupBy("i").agg(F.max("d").alias("d"))
+    return reach.agg(F.percentile("d", share)).first()[0]
+
+
 def radius_graph(points: DataFrame, neighbours: int = 10, share: float = 0.99, id_col: str = "id", features: str = "features") -> DataFrame:
     """(i, j, w) of all ordered pairs closer than the distance that ``share`` of the points reach their k-th neighbour at; w is the distance."""
     kind = points.schema[id_col].dataType.simpleString()
-    reach = geo.nearest(points, neighbours, id_col, features).groupBy("i").agg(F.max("d").alias("d"))
-    radius = reach.agg(F.percentile("d", share)).first()[0]
+    radius = neighbourhood(points, neighbours, share, id_col, features)
 
     def work(a, b, d, same):
         d, inside = geo.within(a["f"], b["f"], radius)
@@ -29,6 +34,36 @@ def radius_graph(points: DataFrame, neighbours: int = 10, share: float = 0.99, i
     return geo.per_tile(geo.tiles(points, id_col, features), work, f"i {kind}, j {kind}, w double", None)
 
 
+def radius_graph_degrees(points: DataFrame, neighbours: int = 10, share: float = 0.99, id_col: str = "id", features: str = "features") -> DataFrame:
+    """(i, degree, total): edges of each point in :func:`radius_graph` and the sum of their weights, for points that have one.
+
+    Added up within the tiles, in which each pair is met once, so that no edge leaves a task.
+    """
+    kind = points.schema[id_col].dataType.simpleString()
+    radius = neighbourhood(points, neighbours, share, id_col, features)
+    radius = -1.0 if radius is None else radius
+
+    def work(a, b):
+        other = a if b is None else b
+        degree, total = [np.zeros(len(x["f"]), np.int64) for x in (a, other)], [np.zeros(len(x["f"])) for x in (a, other)]
+        for s, t, same in geo.block_pairs(a, b):
+            x, y = a["f"][s], other["f"][t]
+            d2, off = geo._products(x, y)
+            i, j = np.nonzero(d2 <= radius * radius + off[:, None])
+            d = geo.paired_distances(x, y, i, j)
+            inside = (d <= radius) & (a["id"][s][i] != other["id"][t][j])
+            i, j, d = i[inside], j[inside], d[inside]
+            for side, block, at, n in ((0, s, i, len(x)),) if same else ((0, s, i, len(x)), (1, t, j, len(y))):
+                degree[side][block] += np.bincount(at, minlength=n)
+                total[side][block] += np.bincount(at, d, minlength=n)
+        for side, x in enumerate((a, other)):
+            some = degree[side] > 0
+            yield pd.DataFrame({"i": x["id"][some], "degree": degree[side][some], "total": total[side][some]})
+
+    tiled = geo.tiles(points, id_col, features, half=True)
+    return geo.per_tile_of_stripes(tiled, work, f"i {kind}, degree long, total double").groupBy("i").agg(F.sum("degree").alias("degree"), F.sum("total").alias("total"))
+
+
 def normalised_graph(points: DataFrame, neighbours: int = 10, id_col: str = "id", features: str = "features") -> DataFrame:
     """(i, j, w): the symmetric k-nearest-neighbour graph of distances, each entry over the root of both degrees."""
     near = geo.nearest(points, neighbours, id_col, features).select("i", "j", "d")

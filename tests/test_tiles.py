@@ -4,6 +4,7 @@ import pytest
 from quillon.operators import geometry as geo
 from quillon.operators.dctree import forest, spanning_tree, tile_tree
 from quillon.operators.density import density_peaks
+from quillon.operators.spectral import radius_graph, radius_graph_degrees
 
 
 def table(spark, x):
@@ -129,3 +130,23 @@ def test_density_peaks_meet_each_pair_once(spark, monkeypatch, block):
         assert (got[i]["delta"], got[i]["parent"]) == (pytest.approx(want[0], rel=1e-12), want[1])
     same = table(spark, np.ones((4, 2)))
     assert sorted((r["rho"], r["delta"]) for r in density_peaks(same).collect()) == [(3.0, 0.0)] * 4
+
+
+@pytest.mark.parametrize("block,stripe", [(3, 20), (256, 1 << 15)])
+def test_radius_degrees_and_neighbours_meet_each_pair_once(spark, monkeypatch, block, stripe):
+    """Copies and ties, within a stripe and across, as the edges of the graph have them; no edge leaves a tile."""
+    monkeypatch.setattr(geo, "BLOCK", block)
+    monkeypatch.setattr(geo, "STRIPE", stripe)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.normal(size=(60, 3)), 1), np.full((15, 3), 0.5), [[40.0, 0, 0]]])
+    points, n, d = table(spark, x), len(x), plain(x)
+    edges = {}
+    for r in radius_graph(points, 4, 0.9).collect():
+        edges.setdefault(r["i"], []).append(r["w"])
+    only_halves(monkeypatch)
+    got = {r["i"]: (r["degree"], r["total"]) for r in radius_graph_degrees(points, 4, 0.9).collect()}
+    assert got == {i: (len(w), pytest.approx(sum(w))) for i, w in edges.items()} and 0 < len(got) < n
+    near = {(r["i"], r["rank"]): r["j"] for r in geo.nearest(points, 7).collect()}
+    for i in range(n):
+        order = sorted((geo.row_distances(x[i], x[j : j + 1])[0], j) for j in range(n) if j != i)
+        assert [near[i, k + 1] for k in range(7)] == [j for _, j in order[:7]]
